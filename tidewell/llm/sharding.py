@@ -114,7 +114,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         "*",
         F.col("_at.region").alias("region"),
         F.col("_at.least.rack").alias("rack"),
-        F.col("_at.least.least.shard").alias("shard"),
+        F.coalesce(F.col("_at.least.least.shard"), F.lit(0)).alias("shard"),  # not nullable: else the join adds a filter that draws again
         grown(F.col("_key"), F.col("_at"), shards).alias("grown_shard"),
     )
     numbered = number_within(placed.drop("_at", "_key"), "shard", "_bucket", ["_hash", key, "text_crc32", "size"], "slot")
