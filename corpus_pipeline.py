@@ -1,10 +1,60 @@
-"""Corpus preparation in stages; each reads what its predecessor kept."""
+"""Corpus preparation in stages; each works on all that its predecessor kept.
+
+language_id        drops documents without a letter (null texts too), whose language can't be told
+line_dedup         removes lines that stand on many sites from the texts, and sets n_chars anew
+near_duplicates    keeps the document of the least id of each group linked by the n-gram join
+decontaminate      drops documents of which a twentieth or more is benchmark text
+pack               cuts the rest into power-of-two sequences of token ids
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import decontaminate, language_id, line_dedup, ngram_join, packing
+from tidewell.llm.common import checkpoint, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+
+
+def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(docs)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(~F.col("contaminated")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", remove_boilerplate_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("pack", pack_sequences),
+]
+
+#: Language identification and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents.  Between stages the rows are written to the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else checkpoint(docs), sf_dir)
+    return docs

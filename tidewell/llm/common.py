@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one step of a mapped function sees at a time.
@@ -154,8 +155,8 @@ SPACED = byte_mask(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 ALNUM = byte_mask(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 
 
-def word_hashes(texts: list, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of many texts in order, and how many words each text has."""
+def word_spans(texts: list, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, the words' starts and ends there, and how many each text has."""
     coded = [(t or "").encode() for t in texts]
     raw = np.frombuffer(b"\n".join(coded), dtype=np.uint8)
     begins = np.cumsum([0, *(len(c) + 1 for c in coded)])[: len(texts)]
@@ -164,7 +165,18 @@ def word_hashes(texts: list, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edge = np.diff(word.view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     counts = np.bincount(np.searchsorted(begins, starts, side="right") - 1, minlength=len(texts))
-    return span_hashes(LOWER[raw], starts, ends), counts
+    return LOWER[raw], starts, ends, counts
+
+
+def word_hashes(texts: list, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of many texts in order, and how many words each text has."""
+    raw, starts, ends, counts = word_spans(texts, is_word)
+    return span_hashes(raw, starts, ends), counts
+
+
+def id_crc(column) -> Column:
+    """crc32 of an id as text; of the empty string for null."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
