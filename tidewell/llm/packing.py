@@ -17,6 +17,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,12 @@ class Encoder:
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process and vocabulary."""
+    return Encoder(path)
+
+
 def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
     """Powers of two that sum to n, longest first, none above limit (a power of two itself)."""
     rest = n % limit
@@ -94,7 +101,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for part in slices(batch, 1):
                 rows, start, length, crc, total, body = [], [], [], [], [], []
