@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import importlib
+
+from .common import ORACLE_SQL, QUERIES
+
+MODULES = ("storage",)
+
+for _name in MODULES:
+    importlib.import_module(f"{__package__}.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
