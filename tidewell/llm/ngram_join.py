@@ -12,10 +12,13 @@ brings only that many columns (`columns`), and a partner shares at least need(n)
 2. For each class the counts are accumulated over the blocks.  Classes below need(n) are discarded: they
    have no partner.  Of the others, only the rarest columns, as many as the prefix bound
    |columns| - need(n) + 1 leaves, can hold a partner's first meeting.
-3. Classes that meet in such a column are candidates.  They are compared by the product of their full rows.
-   First each class is compared with one leader, then groups that still meet with a leader of another
-   group, and in the end all pairs that meet, have sizes within the bound and aren't connected yet.
-   Pairs inside a group that is connected already needn't be compared: components stay the same.
+3. Classes that meet in such a column are candidates.  The most typical class of a column (with the highest
+   mean log count over its columns) leads it, and the classes under one leader form a block of rows.  Near
+   copies share most columns and so one leader: a block stands for many columns.  Large blocks are cut
+   into chunks, and each pair of chunks is a task's work of its own.
+4. In a block the full rows are multiplied: overlap counts of all pairs, with common columns as a dense
+   product and rare ones pair by pair, are held against the size bound.  Links come out as the edges of a
+   spanning forest, not as pairs.
 
 So copies of one text, and large groups of near copies, make rows in proportion to their members.
 
@@ -39,8 +42,8 @@ from .common import SPACED, checkpoint, mix64, ngram_hashes, shuffle_partitions,
 NGRAM, PERCENT = 4, 85
 #: Rows of two 64-bit values that may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Comparisons of group leaders before the remaining pairs are compared one by one.
-LEADER_ROUNDS = 2
+#: Most classes of a block that one task multiplies with those of another chunk (about).
+CHUNK = 700
 
 
 def shingle_sets(texts: list, n: int = NGRAM) -> list[np.ndarray]:
@@ -82,11 +85,6 @@ def need(n: int, percent: int = PERCENT) -> int:
     return _common(n - missing(n, percent), percent)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def members_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, th (a hash of the text), n_shingles and class of each row."""
     source = docs.select(F.col(key), F.col(text).cast("string").alias("_t"), F.xxhash64(F.col(text).cast("string")).alias("th"))
@@ -139,7 +137,8 @@ def shared_columns(docs: DataFrame, text: str, percent: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int) -> DataFrame:
-    """(h, c, n): the classes that may have partners, under each column in which they may meet one."""
+    """(h, c, w): the classes that may have partners, under each column in which they may meet one, and how
+    typical they are (w)."""
     d = F.floor((100 - percent) * F.col("n") / 100).cast("int")
 
     def common(n):
@@ -150,8 +149,8 @@ def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int) ->
     able = gathered.join(bound, "c").where(F.size("x") >= F.col("need"))
     # The columns that no other class has come first in order of rarity.
     meet = F.slice("x", F.lit(1), F.size("x") - F.col("need") + 1)
-    met = able.select("c", "n", F.explode(meet["h"]).alias("h"))
-    return met
+    typical = F.aggregate("x", F.lit(0.0), lambda total, e: total + F.log(e["df"].cast("double"))) / F.col("p")
+    return able.select("c", typical.alias("w"), F.explode(meet["h"]).alias("h"))
 
 
 def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,17 +170,90 @@ def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str,
     return checkpoint(chosen.mapInArrow(run, "c bigint, s binary").dropDuplicates(["c"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    both = pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = batch.column(2), batch.column(3)
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(sa, sb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a bigint, b bigint")
+def overlaps(sets: list[np.ndarray], dense: int = 16, width: int = 2048) -> np.ndarray:
+    """Common elements of each two sets."""
+    rows = len(sets)
+    owner = np.repeat(np.arange(rows), [len(s) for s in sets])
+    members = np.concatenate(sets)
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], members[1:] != members[:-1])))
+    counts = np.diff(np.concatenate((starts, [len(members)])))
+    total = np.zeros((rows, rows), dtype=np.float32)
+    common = np.flatnonzero(counts >= dense)
+    for i in range(0, len(common), width):
+        some = common[i : i + width]
+        incidence = np.zeros((rows, len(some)), dtype=np.float32)
+        at = np.concatenate([np.arange(starts[c], starts[c] + counts[c]) for c in some])
+        incidence[owner[at], np.repeat(np.arange(len(some)), counts[some])] = 1
+        total += incidence @ incidence.T
+    flat = np.zeros(rows * rows, dtype=np.int64)
+    for size in range(2, dense):
+        columns_ = starts[counts == size]
+        if len(columns_):
+            group = owner[columns_[:, None] + np.arange(size)]
+            a, b = np.triu_indices(size, 1)
+            flat += np.bincount((group[:, a] * rows + group[:, b]).ravel(), minlength=rows * rows)
+    rare = flat.reshape(rows, rows)
+    return total.astype(np.int64) + rare + rare.T
+
+
+def forest(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that span the links of the sets; with `side`, of links between the two sides only."""
+    sizes = np.array([len(s) for s in sets])
+    common = overlaps(sets)
+    link = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
+    if side is not None:
+        link &= side[:, None] != side[None, :]
+    root = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    edges = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(link)), strict=True):
+        ra, rb = top(a), top(b)
+        if ra != rb:
+            root[rb] = ra
+            edges.append((a, b))
+    return edges
+
+
+def block_rows(met: DataFrame) -> DataFrame:
+    """(lead, i, j, c): each block's classes, once for each pair (i <= j) of chunks that its own is in."""
+    lead = met.groupBy("h").agg(F.max(F.struct("w", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("x.c").alias("lead"))
+    blocks = met.join(lead, "h").select("lead", "c").distinct()
+    chunks = blocks.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 0")
+    placed = blocks.join(chunks, "lead").withColumn("at", F.pmod(F.xxhash64("c"), F.col("chunks")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
+    return placed.select("lead", "c", "at", F.explode(pairs).alias("p")).select("lead", "p.i", "p.j", "at", "c")
+
+
+def linked_classes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span all links within the blocks."""
+    buckets = 4 * shuffle_partitions(rows.sparkSession)
+    work = rows.join(sets, "c").withColumn("task", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(buckets)))
+
+    def multiply(table_: pa.Table) -> pa.Table:
+        key = [table_.column(x).to_numpy() for x in ("lead", "i", "j")]
+        c, at = table_.column("c").to_numpy(), table_.column("at").to_numpy()
+        raw = [x.as_buffer() for x in table_.column("s")]
+        order = np.lexsort((c, *key))
+        cuts = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in key], axis=0)) + 1
+        a: list[int] = []
+        b: list[int] = []
+        for block in np.split(order, cuts):
+            if len(block) > 1:
+                first = block[0]
+                across = at[block] if key[1][first] != key[2][first] else None
+                for x, y in forest([np.frombuffer(raw[r], np.uint64) for r in block], across, percent):
+                    a.append(int(c[block[x]])), b.append(int(c[block[y]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work.groupBy("task").applyInArrow(multiply, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,41 +274,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("c", F.col("new").alias("root"))
 
 
-def _relabelled(met: DataFrame, labels: DataFrame) -> DataFrame:
-    return met.join(labels, "c", "left").select("h", "c", "n", F.coalesce("root", "c").alias("root"))
-
-
-def _leaders(met: DataFrame) -> DataFrame:
-    """Pairs of one class of each group with one of the least group that it meets."""
-    least = met.groupBy("h").agg(F.min(F.struct("root", "c")).alias("x")).select("h", F.col("x.root").alias("top"), F.col("x.c").alias("a"))
-    across = met.join(least, "h").where(F.col("root") != F.col("top"))
-    return across.groupBy("root").agg(F.min(F.struct("top", "a", "c")).alias("x")).select("x.a", F.col("x.c").alias("b"))
-
-
-def _mixed(met: DataFrame) -> DataFrame:
-    """Only the columns in which classes of different groups meet."""
-    return met.join(met.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "h", "left_semi")
-
-
 def class_components(docs: DataFrame, members: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """(c, root) for the classes that link with another."""
     classes = members.where("n > 0").select("c", "n").distinct()
-    met = candidates(docs, classes, text, percent)
-    alone = met.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    met = checkpoint(checkpoint(met).join(alone, "h", "left_semi").withColumn("root", F.col("c")))
-    sets = class_sets(docs, members, met.select("c").distinct(), key, text)
-    edges = None
-    for _ in range(LEADER_ROUNDS):
-        found = verified(_leaders(met), sets, percent)
-        edges = checkpoint(found if edges is None else edges.union(found))
-        labels = components(edges)
-        met = checkpoint(_mixed(_relabelled(met.drop("root"), labels)))
-    left, right = met.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), met.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = checkpoint(left.join(right, "h").where(fits).select("a", "b").distinct())
-    if rest.isEmpty():
-        return labels
-    return components(edges.union(verified(rest, sets, percent)))
+    rows = checkpoint(block_rows(checkpoint(candidates(docs, classes, text, percent))))
+    sets = class_sets(docs, members, rows.select("c").distinct(), key, text)
+    return components(checkpoint(linked_classes(rows, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
