@@ -6,7 +6,7 @@ import importlib
 
 from .common import ORACLE_SQL, QUERIES
 
-MODULES = ("storage",)
+MODULES = ("storage", "facets", "searching")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")

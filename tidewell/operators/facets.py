@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import checkpoint
+
 WANTED_TAGS, MAX_TAGS, MIN_COUNT, DEFAULT_TAGS = 15, 5000, 1, 20
 DELIMITER, LEVELS = "/", 5
 
@@ -172,9 +174,12 @@ def hierarchical(paths: DataFrame, request: Hierarchy = Hierarchy()) -> DataFram
     prefixes = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda n: F.struct(F.array_join(F.slice(split, F.lit(1), n), request.delimiter).alias("path"), n.alias("depth"), F.when(n == F.col("depth"), F.col("own")).otherwise(0).alias("own")))).alias("x"))
     tags = prefixes.select("x.*").groupBy("path", "depth").agg(F.sum("own").alias("own"))
     parent = F.when(F.col("depth") > 1, F.array_join(F.slice(split, F.lit(1), F.col("depth") - 1), request.delimiter)).otherwise("")
-    tags = tags.withColumn("parent", parent)
-    done, below = None, None
-    for depth in range(request.levels, 0, -1):
+    # The distinct tags are few against the documents; written once, each level is a small job of its own.
+    tags = checkpoint(tags.withColumn("parent", parent))
+    deepest = tags.agg(F.max("depth")).first()[0] or 1
+    levels: dict[int, DataFrame] = {}
+    below = None
+    for depth in range(deepest, 0, -1):
         limits = request.level(depth)
         here = tags.where(F.col("depth") == depth)
         if below is not None:
@@ -182,13 +187,13 @@ def hierarchical(paths: DataFrame, request: Hierarchy = Hierarchy()) -> DataFram
         else:
             here = here.withColumn("total", F.col("own"))
         here = here.where((F.col("own") >= limits.min_count) & (F.col("total") >= limits.min_total))
+        here = levels[depth] = checkpoint(here) if depth < deepest else here
         below = here.groupBy(F.col("parent").alias("_up")).agg(F.sum("total").alias("_sum"))
-        done = here if done is None else done.unionByName(here)
     ranked = []
-    for depth in range(1, request.levels + 1):
+    for depth in range(1, deepest + 1):
         limits = request.level(depth)
         order = [F.desc("total"), F.col("path")] if limits.order == "count" else [F.col("path")]
-        level = done.where(F.col("depth") == depth).withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*order))).where(F.col("rank") <= limits.max_tags)
+        level = levels[depth].withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*order))).where(F.col("rank") <= limits.max_tags)
         if ranked:
             level = level.join(ranked[-1].select(F.col("path").alias("_kept")), F.col("parent") == F.col("_kept"), "left_semi")
         ranked.append(level)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import checkpoint
+
 
 def children_of(records: DataFrame, edges: DataFrame, parents: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(parent, child's columns), ordered by parent and child id."""
@@ -49,24 +51,13 @@ def expand(roots: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
         level = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         if depth < 0:
             # Without a limit the loop must know when it is done; lineage is cut at each level.
-            level = _checkpoint(level)
+            level = checkpoint(level)
             if level.isEmpty():
                 break
         seen = seen.union(level)
     return seen
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    import os
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
-    return df.checkpoint()
-
-
 def ascend(roots: DataFrame, edges: DataFrame, height: int = -1) -> DataFrame:
     """(root, node, depth): each root with its ancestors."""
     return expand(roots, edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), height)

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     context.addPyFile(archive)
     context._tidewell_shipped = True
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, which cuts its lineage.  A folder is set only where none is."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
+    return df.checkpoint()
