@@ -63,12 +63,12 @@ def _part_descriptor() -> Descriptor:
 
 @query(
     "qry_group_dismax",
-    f"""SELECT p_partkey, score FROM (SELECT p_partkey, greatest(CASE WHEN list_contains({text_sql.tokens("p_name")}, 'steel') THEN 6.0 ELSE 0.0 END, CASE WHEN list_contains({text_sql.tokens("p_type")}, 'steel') THEN 1.5 ELSE 0.0 END)::DOUBLE AS score FROM part) WHERE score > 0""",
+    f"""SELECT p_partkey, score FROM (SELECT p_partkey, greatest(CASE WHEN list_contains({text_sql.tokens("p_name")}, 'ring') THEN 6.0 ELSE 0.0 END, CASE WHEN list_contains({text_sql.tokens("p_type")}, 'ring') THEN 1.5 ELSE 0.0 END)::DOUBLE AS score FROM part) WHERE score > 0""",
 )
 def _(t: Tables):
     """Descriptor boost 2 and a query boost of 3 for one field and of 1.5 for the group's other field."""
     searcher = Searcher(t.part, "p_partkey", {"p_name": "text", "p_type": "text"}, descriptor=_part_descriptor())
-    node = parse("about:steel boost(p_name^3 about^1.5)", searcher.descriptor)
+    node = parse("about:ring boost(p_name^3 about^1.5)", searcher.descriptor)
     compiler = Compiler(searcher._tokens, searcher._analyze)
     rows = t.part.withColumn("score", compiler.score(node, lambda leaf: F.lit(1.0)).cast("double"))
     return rows.where(compiler.matches(node)).select("p_partkey", "score")
