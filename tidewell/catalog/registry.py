@@ -6,7 +6,7 @@ import importlib
 
 from .common import ORACLE_SQL, QUERIES
 
-MODULES = ("storage", "facets", "searching", "dataflow")
+MODULES = ("storage", "facets", "searching", "dataflow", "federated")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
