@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidewell.session import checkpoint
 
 
+#: Expansions to this depth are one plan; deeper ones write each level.
+PLANNED_DEPTH = 3
+
+
 def children_of(records: DataFrame, edges: DataFrame, parents: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(parent, child's columns), ordered by parent and child id."""
     chosen = edges if parents is None else edges.join(parents.select(F.col(key).alias("parent")), "parent", "left_semi")
@@ -49,8 +53,8 @@ def expand(roots: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
         reached += 1
         found = level.join(step, "node").select("root", F.col("next").alias("node"), F.lit(reached).alias("depth")).distinct()
         level = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        if depth < 0:
-            # Without a limit the loop must know when it is done; lineage is cut at each level.
+        if not 0 <= depth <= PLANNED_DEPTH:
+            # A plan of many levels grows with the square and more; written levels keep it flat.
             level = checkpoint(level)
             if level.isEmpty():
                 break
