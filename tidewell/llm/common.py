@@ -96,6 +96,14 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def hash_share(order: Column, wanted: int, total: Column) -> Column:
+    """Whether a row's hash lies in the least part that holds about three times the wanted rows.
+
+    A sample of the least hashes is then picked from these few, instead of from the best of each task.
+    """
+    return F.pmod(order, F.lit(1 << 31)) < F.lit(float(1 << 31)) * 3 * wanted / total
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of the splitmix64 generator, on unsigned 64-bit arrays."""
     x = x ^ (x >> U64(30))
