@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, id_crc, map_text, span_hashes, table, word_spans
+from .common import ALNUM, hash_share, id_crc, map_text, span_hashes, table, word_spans
 
 BITS, STEM, FACTORS = 20, 6, 6
 TOXIC_ROWS, OTHER_ROWS, MOST_FEATURES = 3000, 7000, 4096
 #: Least chi-square statistic and least documents of a feature.
-CHI_SQUARE, SUPPORT = 40.0, 3
+CHI_SQUARE, SUPPORT = 25.0, 3
 STEPS, THRESHOLD = 450, 0.7
 
 
@@ -120,8 +120,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     """(label, buckets) of at most toxic_rows and other_rows documents; their ids are few enough to broadcast."""
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (id_crc(key) % 3 != 1))
     known = usable.groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = known.where("_y = 1").orderBy(*order).limit(toxic_rows).unionByName(known.where("_y = 0").orderBy(*order).limit(other_rows))
+    hashed = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
+    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).where("_y IN (0, 1)").collect()}
+
+    def least(y: int, rows: int) -> DataFrame:
+        few = known.where((F.col("_y") == y) & hash_share(hashed, rows, F.lit(max(1, counts.get(y, 0)))))
+        return few.orderBy(hashed, "_id").limit(rows)
+
+    chosen = least(1, toxic_rows).unionByName(least(0, other_rows))
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def make():
