@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one step of a mapped function sees at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 

@@ -17,7 +17,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +57,11 @@ class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self.special = whole["model"], [t["content"] for t in whole.get("added_tokens", [])]
         letters = _byte_of_letter()
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -70,6 +69,13 @@ class Encoder:
             raise ValueError("the vocabulary's ids must follow its merges")
         self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when a text needs it: most workers never do, and it takes memory for good."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
