@@ -103,6 +103,38 @@ def test_quotes(spark):
     assert quote_links.link_quotes(rows.limit(0)).count() == 0
 
 
+PLAN = "The bus leaves at eight.\nBring a lamp\nand two ropes.\nFood is there.\nCall me if late."
+PARTS = "First part here.\n\nSecond part, longer.\n\nThird one."
+
+
+@pytest.mark.parametrize(
+    "original, reply",
+    [
+        (PLAN, "> Bring a lamp\n> and two ropes.\nI will."),
+        (PLAN, "> The bus leaves at eight.\n> Bring a lamp\n> and two ropes.\nGood."),
+        (PLAN, "> Food is there.\nGood.\n> Bring a lamp and two ropes.\nYes."),
+        (PLAN, "> Bring a lamp\n> [...]\nWhich?"),
+        (PARTS, "> First part here.\n>\n> Second part, longer.\nYes."),
+        ("I came late. The door was shut. So I left.", "> The door was shut.\nIt was not."),
+    ],
+)
+def test_partial_quotes(spark, original, reply):
+    # The message between has the shortest line alone: the longer piece decides.
+    talk = [(1, 0, original), (1, 1, "> Hm\nOther words\nBring a lamp"), (1, 2, reply)]
+    if "[...]" in reply:
+        talk[1] = (1, 1, "Other words")
+    got = {r["turn"]: r for r in quote_links.link_quotes(spark.createDataFrame(talk, "conv_id bigint, turn bigint, text string")).collect()}
+    assert (got[2]["parent_turn"], got[2]["root_turn"], got[2]["depth"]) == (0, 0, 1)
+    assert got[2]["n_linked"] == got[2]["n_quoted"] and got[1]["n_linked"] == 0
+
+
+def test_whole_partial_quote_decides(spark):
+    """Three lines of five link to the message that has all three, not to a later one that has two."""
+    talk = [(1, 0, "a one\nb two long\nc three\nd four\ne five"), (1, 1, "a one\nb two long"), (1, 2, "> a one\n> b two long\n> c three\nYes.")]
+    got = quote_links.link_quotes(spark.createDataFrame(talk, "conv_id bigint, turn bigint, text string"))
+    assert got.where("turn = 2").first()["parent_turn"] == 0
+
+
 def plain_lz(text):
     phrases, now = set(), ""
     for c in text:

@@ -2,17 +2,21 @@
 
 A message's lines are parsed by nested quote level (the number of leading `>` marks).  Runs of lines of
 one level form passages.  Passages are normalised (marks and punctuation dropped, lower case, single
-spaces) and hashed.  A quoted passage is joined, within its conversation, to the latest earlier message
-whose own whole text or own passage has the same hash.  A message's parent is the author of its
+spaces) and hashed.  A quoted passage is hashed whole, by paragraph, and by groups of 1, 2, 4, ... of its
+consecutive lines or sentences; each piece is joined, within its conversation, to the latest earlier message
+that has it as its own text: the whole, a run, or any consecutive lines or sentences of it.  The longest piece
+with an original links the quote, so one trimmed or edited in part links by what is left.  A message's parent is the author of its
 outermost quote that can be linked.  Following parents gives the thread's root and the reply depth;
 ordering by (root_turn, turn) puts every reply after what it answers.  Texts come out without quotes.
 
+Messages of conversations with quotes hash their groups of the lengths that pieces there have, not all groups.
 Only originals whose hash some quote has take part in the join.  For each (conversation, hash) the earlier
 message is found by one ordered window over distinct turns, so repeated texts make no pairs.  Threads are
 resolved by pointer doubling over the linked messages alone.
 
 Edge cases: a null text counts as empty; a null conversation or turn links to nothing; messages of equal
 conversation and turn (repeated rows) get the same links; passages without letters or digits have no hash;
+part of a sentence that is no line of its original links to nothing;
 a message without a link is its own root at depth 0; an empty table gives an empty result.
 """
 
@@ -26,9 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, map_text, table
 
+#: Conversations with quotes whose lengths may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 50_000
 _MARKS = regex.compile(r"^(?:[ \t]{0,3}>)+[ \t]?")
 _INTRO = regex.compile(r"^(?:On\b.{0,200}\bwrote|.{1,80}\bwrote):\s*$")
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
+_BREAK = regex.compile(r"\n[ \t\r]*\n")
+_STOP = regex.compile(r"(?<=[.!?…][\"'”’)\]]*)\s+|(?<=[。！？])")
 
 
 def level_of(line: str) -> tuple[int, str]:
@@ -52,45 +60,116 @@ def passages(text: str) -> list[tuple[int, str]]:
     return [(level, "\n".join(lines)) for level, lines in runs if any(x.strip() for x in lines)]
 
 
-def normal_hash(passage: str) -> str | None:
-    plain = _DROP.sub(" ", passage.lower()).strip()
-    return md5(plain.encode()).hexdigest() if plain else None
+def normal(passage: str) -> str:
+    return _DROP.sub(" ", passage.lower()).strip()
+
+
+def normal_hash(plain: str) -> int:
+    """64 bits; hashes meet within a conversation only."""
+    return int.from_bytes(md5(plain.encode()).digest()[:8], "little", signed=True)
+
+
+def paragraphs(passage: str) -> list[str]:
+    return _BREAK.split(passage)
+
+
+def units(passage: str) -> tuple[list[str], list[str]]:
+    """The normalised lines, and the normalised sentences, which may go over line ends but not over paragraphs."""
+    lines = [normal(x) for x in passage.split("\n")]
+    sentences = [normal(x) for p in paragraphs(passage) for x in _STOP.split(p)]
+    return [x for x in lines if x], [x for x in sentences if x]
+
+
+def pieces_of(passage: str) -> dict[str, set[int]]:
+    """The pieces of a quoted passage and the numbers of units that each may have in an original."""
+    out: dict[str, set[int]] = {}
+    for part in [passage, *paragraphs(passage)]:
+        if plain := normal(part):
+            out.setdefault(plain, set()).update(len(x) for x in units(part))
+    for kind in units(passage):
+        size = 1
+        while size <= len(kind):
+            for i in range(len(kind) - size + 1):
+                out.setdefault(" ".join(kind[i : i + size]), set()).add(size)
+            size *= 2
+    return out
+
+
+def own_hashes(text: str, sizes: list[int]) -> set[int]:
+    """Hashes of the author's own text, its runs and paragraphs, and all groups of `sizes` lines or sentences."""
+    own = [p for level, p in passages(text) if level == 0]
+    body = "\n".join(own).strip()
+    plain = {normal(p) for p in [body, *own, *paragraphs(body)]}
+    for kind in units(body):
+        plain.update(" ".join(kind[i : i + size]) for size in sizes for i in range(len(kind) - size + 1))
+    return {normal_hash(p) for p in plain if p}
 
 
 def parsed(messages: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds body (the text without quotes), n_levels, n_quoted, own hashes, and quoted (level, hash) pairs."""
+    """Adds body (the text without quotes), n_levels, and n_quoted."""
 
     def make():
         def fn(texts: list) -> list:
-            out: list[list] = [[], [], [], [], [], []]
+            found = [passages(t or "") for t in texts]
+            return [
+                ["\n".join(p for level, p in x if level == 0).strip() for x in found],
+                [max((level for level, _ in x), default=0) for x in found],
+                [sum(level > 0 for level, _ in x) for x in found],
+            ]
+
+        return fn
+
+    return map_text(messages, text, "body string, n_levels bigint, n_quoted bigint", make, keep)
+
+
+def quoted(messages: DataFrame, text: str) -> DataFrame:
+    """(c, t, level, q, h, chars, sizes): the pieces h of each quote q."""
+
+    def make():
+        def fn(texts: list) -> list:
+            out = []
             for t in texts:
-                found = passages(t or "")
-                body = "\n".join(p for level, p in found if level == 0).strip()
-                own = {normal_hash(p) for level, p in found if level == 0} | {normal_hash(body)}
-                own |= {normal_hash(p) for p in body.split("\n\n")} | {normal_hash(p) for p in body.split("\n")}
-                quoted = [(level, h) for level, p in found if level and (h := normal_hash(p))]
-                out[0].append(body)
-                out[1].append(max((level for level, _ in found), default=0))
-                out[2].append(sum(level > 0 for level, _ in found))
-                out[3].append(sorted(h for h in own if h))
-                out[4].append([level for level, _ in quoted])
-                out[5].append([h for _, h in quoted])
-            return out
+                rows = {}
+                for level, p in passages(t or ""):
+                    if level and (plain := normal(p)):
+                        q = normal_hash(plain)
+                        for piece, sizes in pieces_of(p).items():
+                            h = normal_hash(piece)
+                            known = rows.setdefault((level, q, h), {"level": level, "q": q, "h": h, "chars": len(piece), "sizes": []})
+                            known["sizes"] = sorted(sizes.union(known["sizes"]))
+                out.append(list(rows.values()))
+            return [out]
 
         return fn
 
-    return map_text(messages, text, "body string, n_levels bigint, n_quoted bigint, own array<string>, levels array<bigint>, quotes array<string>", make, keep)
+    found = map_text(messages, text, "quotes array<struct<level: bigint, q: bigint, h: bigint, chars: bigint, sizes: array<bigint>>>", make, ["c", "t"])
+    return found.select("c", "t", F.explode("quotes").alias("x")).select("c", "t", "x.*")
+
+
+def originals(messages: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
+    """(c, t, h): own hashes of the messages of conversations with quotes; sizes: (c, sizes)."""
+
+    def make():
+        return lambda texts, wanted: [[sorted(own_hashes(t or "", w)) for t, w in zip(texts, wanted, strict=True)]]
+
+    return map_text(messages.join(sizes, "c"), text, "own array<bigint>", make, ["c", "t"], ["sizes"]).select("c", "t", F.explode("own").alias("h"))
 
 
-def links(pieces: DataFrame, conversation: str, turn: str) -> DataFrame:
-    """(conversation, turn, level, parent): for each quote, the latest earlier message with its passage."""
-    known = pieces.where(F.col(conversation).isNotNull() & F.col(turn).isNotNull())
-    quotes = known.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.explode(F.arrays_zip("levels", "quotes")).alias("q")).select("c", "t", F.col("q.levels").alias("level"), F.col("q.quotes").alias("h")).distinct()
-    own = known.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.explode("own").alias("h")).join(quotes.select("c", "h").distinct(), ["c", "h"], "left_semi").distinct()
-    both = quotes.unionByName(own.withColumn("level", F.lit(0).cast("bigint")))
+def links(messages: DataFrame, conversation: str, turn: str, text: str) -> DataFrame:
+    """(c, t, level, parent): for each quote, the latest earlier message with its longest piece that has one."""
+    known = messages.where(F.col(conversation).isNotNull() & F.col(turn).isNotNull()).select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.col(text).alias("_text"))
+    pieces = checkpoint(quoted(known, "_text"))
+    sizes = checkpoint(pieces.select("c", F.explode("sizes").alias("size")).groupBy("c").agg(F.collect_set("size").alias("sizes")))
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    quotes = pieces.drop("sizes").distinct()
+    own = originals(known, sizes, "_text").join(quotes.select("c", "h").distinct(), ["c", "h"], "left_semi").distinct()
+    both = quotes.unionByName(own.withColumn("level", F.lit(0).cast("bigint")), allowMissingColumns=True)
     earlier = Window.partitionBy("c", "h").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     linked = both.withColumn("parent", F.max(F.when(F.col("level") == 0, F.col("t"))).over(earlier))
-    return linked.where((F.col("level") > 0) & F.col("parent").isNotNull()).select("c", "t", "level", "parent")
+    found = linked.where((F.col("level") > 0) & F.col("parent").isNotNull())
+    longest = found.groupBy("c", "t", "level", "q").agg(F.max(F.struct("chars", "parent")).alias("x"))
+    return longest.select("c", "t", "level", F.col("x.parent").alias("parent"))
 
 
 def threads(found: DataFrame) -> DataFrame:
@@ -107,14 +186,13 @@ def threads(found: DataFrame) -> DataFrame:
 
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with body, n_levels, n_quoted, n_linked, parent_turn, root_turn and depth."""
-    carried = [c for c in (messages.columns if keep is None else keep) if c not in ("own", "levels", "quotes")]
+    carried = messages.columns if keep is None else keep
     pieces = parsed(messages, text, list(dict.fromkeys([*carried, conversation, turn])))
-    quoting = parsed(messages, text, [conversation, turn])
-    found = checkpoint(links(quoting, conversation, turn))
+    found = checkpoint(links(messages, conversation, turn, text))
     resolved = threads(found).join(found.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_linked")), ["c", "t"])
     resolved = resolved.select("c", "t", F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth", "n_linked")
     extra = {"parent_turn", "root_turn", "depth", "n_linked"}
-    joined = pieces.drop("own", "levels", "quotes", *extra).join(resolved, (F.col(conversation) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
+    joined = pieces.drop(*extra).join(resolved, (F.col(conversation) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
     zero = F.lit(0).cast("bigint")
     return joined.withColumns({"root_turn": F.coalesce("root_turn", turn), "depth": F.coalesce("depth", zero), "n_linked": F.coalesce("n_linked", zero)}).drop("c", "t")
 
