@@ -1,7 +1,10 @@
 """Each stage of the pipeline against a plain computation on its own input."""
 
+import pytest
+
 import corpus_pipeline
-from tests.llm.test_llm_operators import plain_components, plain_contamination, texts
+from tests.llm.test_llm_operators import near_copies, plain_components, plain_contamination, texts
+from tidewell.llm import ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +43,27 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_rule(spark):
+    """Texts that are alike by five words and 0.8, but not by four words and 0.85, lose the second copy."""
+    words = [f"w{i}" for i in range(50)]
+    # One word of 50 replaced: 41 of 51 shingles of five words are common (0.804), 43 of 51 of four (0.843).
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, " ".join(f"v{i}" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(texts(dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF))) == [1, 3]
+    assert sorted(texts(ngram_join.one_of_each(docs))) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_near_duplicates_by_brute_force(spark, seed):
+    rows = near_copies(seed)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert sorted(texts(left)) == sorted({rows[r][0] for r in root})

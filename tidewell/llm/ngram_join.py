@@ -1,7 +1,8 @@
 """N-gram Jaccard join by a blocked sparse product of the document by n-gram incidence matrix.
 
-A document's set is its distinct shingles of four words, as 64-bit hashes.  Documents of equal sets form a
-class; only classes are compared.  Two classes link when 100 * |A & B| >= 85 * |A | B|.
+A document's set is its distinct shingles of NGRAM words, as 64-bit hashes.  Documents of equal sets form a
+class; only classes are compared.  Two classes link when 100 * |A & B| >= PERCENT * |A | B|.  Shingle length and
+percent are parameters; the bounds below are for 85.
 
 Size-derived bounds.  At most d(n) = floor(0.15 n) of a set's n elements are missing in a partner.  In hash
 order the first L common elements of a linked pair lie in the first d(n) + L of each side, so each class
@@ -22,7 +23,7 @@ brings only that many columns (`columns`), and a partner shares at least need(n)
 
 So copies of one text, and large groups of near copies, make rows in proportion to their members.
 
-Edge cases: null and empty texts, and texts of white space only, have an empty set and link with nothing; fewer than four words
+Edge cases: null and empty texts, and texts of white space only, have an empty set and link with nothing; fewer words than a shingle has
 are one shingle; repeated rows are members of the same class; null ids count for no component's
 smallest id; an empty table gives an empty result.  Hashes are 64-bit: of 10**9 distinct shingles, a given
 pair of sets is affected by a collision with a probability below 10**-7.
@@ -85,27 +86,27 @@ def need(n: int, percent: int = PERCENT) -> int:
     return _common(n - missing(n, percent), percent)
 
 
-def members_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+def members_of(docs: DataFrame, key: str, text: str, ngram: int = NGRAM) -> DataFrame:
     """key, th (a hash of the text), n_shingles and class of each row."""
     source = docs.select(F.col(key), F.col(text).cast("string").alias("_t"), F.xxhash64(F.col(text).cast("string")).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                sets = shingle_sets(part.column(1).to_pylist())
+                sets = shingle_sets(part.column(1).to_pylist(), ngram)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=[key, "th", "n", "c"])
 
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, th bigint, n bigint, c bigint")
 
 
-def shared_columns(docs: DataFrame, text: str, percent: int) -> DataFrame:
+def shared_columns(docs: DataFrame, text: str, percent: int, ngram: int) -> DataFrame:
     """(c, h, df) for the columns h of class c that other classes have too; df: how many classes do."""
     count = 2 * shuffle_partitions(docs.sparkSession)
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                sets = {class_of(s): s for s in shingle_sets(part.column(0).to_pylist()) if len(s)}
+                sets = {class_of(s): s for s in shingle_sets(part.column(0).to_pylist(), ngram) if len(s)}
                 if not sets:
                     continue
                 firsts = [s[: columns(len(s), percent)] for s in sets.values()]
@@ -136,7 +137,7 @@ def shared_columns(docs: DataFrame, text: str, percent: int) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(count_columns, "c bigint, h bigint, df bigint")
 
 
-def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int) -> DataFrame:
+def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int, ngram: int) -> DataFrame:
     """(h, c, w): the classes that may have partners, under each column in which they may meet one, and how
     typical they are (w)."""
     d = F.floor((100 - percent) * F.col("n") / 100).cast("int")
@@ -145,7 +146,7 @@ def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int) ->
         return F.least(n - F.floor((100 - percent) * n / 100).cast("int"), F.floor(18 * n / 100).cast("int") + 4)
 
     bound = classes.select("c", "n", F.least(F.col("n").cast("int"), d + common(F.col("n").cast("int"))).alias("p"), common((F.col("n") - d).cast("int")).alias("need"))
-    gathered = shared_columns(docs, text, percent).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
+    gathered = shared_columns(docs, text, percent, ngram).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     able = gathered.join(bound, "c").where(F.size("x") >= F.col("need"))
     # The columns that no other class has come first in order of rarity.
     meet = F.slice("x", F.lit(1), F.size("x") - F.col("need") + 1)
@@ -153,7 +154,7 @@ def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int) ->
     return able.select("c", typical.alias("w"), F.explode(meet["h"]).alias("h"))
 
 
-def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str, text: str, ngram: int) -> DataFrame:
     """(c, s): the full sets, as bytes, of the wanted classes, from one document of each."""
     one = members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("th", key)).alias("x")).select("x.*")
     if wanted.count() <= BROADCAST_ROWS:
@@ -164,7 +165,7 @@ def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                sets = shingle_sets(part.column(0).to_pylist())
+                sets = shingle_sets(part.column(0).to_pylist(), ngram)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
 
     return checkpoint(chosen.mapInArrow(run, "c bigint, s binary").dropDuplicates(["c"]))
@@ -274,30 +275,30 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("c", F.col("new").alias("root"))
 
 
-def class_components(docs: DataFrame, members: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
+def class_components(docs: DataFrame, members: DataFrame, key: str, text: str, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
     """(c, root) for the classes that link with another."""
     classes = members.where("n > 0").select("c", "n").distinct()
-    rows = checkpoint(block_rows(checkpoint(candidates(docs, classes, text, percent))))
-    sets = class_sets(docs, members, rows.select("c").distinct(), key, text)
+    rows = checkpoint(block_rows(checkpoint(candidates(docs, classes, text, percent, ngram))))
+    sets = class_sets(docs, members, rows.select("c").distinct(), key, text, ngram)
     return components(checkpoint(linked_classes(rows, sets, percent)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
     """key, n_shingles, component_id (the least key of the component) and class_id of each row."""
-    members = checkpoint(members_of(docs, key, text))
-    labels = class_components(docs, members, key, text, percent)
+    members = checkpoint(members_of(docs, key, text, ngram))
+    labels = class_components(docs, members, key, text, percent, ngram)
     rooted = members.join(labels, "c", "left").select(key, "n", "c", F.coalesce("root", "c").alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min(key).alias("least"))
     joined = rooted.join(least, "root", "left")
     return joined.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("least")).alias("component_id"), F.col("c").alias("class_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
     """docs without the rows that link, directly or by others, with a row of a lesser key.
 
     Rows that repeat the key of the one that stays are the same document and stay with it.
     """
-    gone = checkpoint(near_duplicates(docs, key, text, percent).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct())
+    gone = checkpoint(near_duplicates(docs, key, text, percent, ngram).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
