@@ -314,6 +314,14 @@ def test_ngram_join_edges(odd, empty):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 6, 7, 8]
 
 
+def test_one_of_each_rows(spark):
+    """One row of a component stays whatever its keys are, and other texts under its keys stay."""
+    copy, other, alone = "one text that has several copies in here", "a text of its own that nothing repeats", "copies without any key at all are one"
+    rows = [(1, copy), (1, copy), (5, copy), (None, copy), (None, copy), (5, other), (None, alone), (None, alone), (None, None), (None, None), (7, " "), (7, " ")]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, copy), (5, other), (None, alone), (None, None), (None, None), (7, " "), (7, " ")], key=str)
+
+
 def test_sharding(spark, odd, empty):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("tä").alias("text"))
     rows = sharding.shard_documents(many).collect()

@@ -283,25 +283,41 @@ def class_components(docs: DataFrame, members: DataFrame, key: str, text: str, p
     return components(checkpoint(linked_classes(rows, sets, percent)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
-    """key, n_shingles, component_id (the least key of the component) and class_id of each row."""
+def rooted_members(docs: DataFrame, key: str, text: str, percent: int, ngram: int) -> DataFrame:
+    """members_of, with the root of each row's component."""
     members = checkpoint(members_of(docs, key, text, ngram))
     labels = class_components(docs, members, key, text, percent, ngram)
-    rooted = members.join(labels, "c", "left").select(key, "n", "c", F.coalesce("root", "c").alias("root"))
+    return members.join(labels, "c", "left").select(key, "th", "n", "c", F.coalesce("root", "c").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
+    """key, n_shingles, component_id (the least key of the component) and class_id of each row."""
+    rooted = rooted_members(docs, key, text, percent, ngram).drop("th")
     least = rooted.where("n > 0").groupBy("root").agg(F.min(key).alias("least"))
     joined = rooted.join(least, "root", "left")
     return joined.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("least")).alias("component_id"), F.col("c").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
-    """docs without the rows that link, directly or by others, with a row of a lesser key.
+    """One row of each component: of the least key (a null one only if it has no other), and of that the text of least hash.
 
-    Rows that repeat the key of the one that stays are the same document and stay with it.
+    Rows are told apart by key and text, so another text under the key of a removed row stays.  Rows with an
+    empty set are in no component and all stay.
     """
-    gone = checkpoint(near_duplicates(docs, key, text, percent, ngram).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    rows = rooted_members(docs, key, text, percent, ngram).where("n > 0").groupBy("root", F.col(key).alias("_k"), "th").agg(F.count(F.lit(1)).alias("times"))
+    rows = checkpoint(rows)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "th")).alias("first"))
+    stays = F.col("_k").eqNullSafe(F.col("first._k")) & (F.col("th") == F.col("first.th"))
+    # A component of a single row has nothing to remove.
+    told = checkpoint(rows.join(first, "root").withColumn("stays", stays).where(~F.col("stays") | (F.col("times") > 1)).select("_k", F.col("th").alias("_th"), "stays"))
+    if told.count() <= BROADCAST_ROWS:
+        told = F.broadcast(told)
+    names = docs.columns
+    marked = docs.withColumn("_h", F.xxhash64(F.col(text).cast("string"))).join(told, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_th")), "left")
+    kept = marked.where(F.col("stays").isNull()).select(names)
+    if told.where("stays").isEmpty():
+        return kept
+    return kept.union(marked.where("stays").dropDuplicates(["_k", "_h"]).select(names))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
