@@ -1,6 +1,7 @@
 """Corpus preparation in stages; each works on all that its predecessor kept.
 
-language_id        drops documents without a letter (null texts too), whose language can't be told
+language_id        drops documents without a letter (null texts too), whose language can't be told; without rows to
+                   learn languages from, it keeps the same rows
 line_dedup         removes lines that stand on many sites from the texts, and sets n_chars anew
 near_duplicates    keeps the document of the least id of each group linked by the n-gram join, at five words
                    a shingle and a Jaccard similarity of 0.8 (op6 has four words and 0.85)
@@ -22,7 +23,10 @@ STAGE_NGRAM, STAGE_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs)
+    network = language_id.learn(docs)
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs, network)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 

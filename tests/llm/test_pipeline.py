@@ -45,6 +45,13 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_language_id_without_labels(spark):
+    """Rows with letters stay where no row has a language to learn from."""
+    rows = [(1, "Words in a row.", None), (2, "12 34", None), (3, None, None), (4, "äöü", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(texts(dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF))) == [1, 4]
+
+
 def test_near_duplicates_rule(spark):
     """Texts that are alike by five words and 0.8, but not by four words and 0.85, lose the second copy."""
     words = [f"w{i}" for i in range(50)]

@@ -178,9 +178,14 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
     return map_text(docs, text, "lang_pred string, score double", make, keep)
 
 
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
+    """A network of the labelled rows that aren't held out; None if there are none."""
+    return train(training_sample(docs, key, text, lang))
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Train on the labelled rows that aren't held out, and predict all rows."""
-    return predict(docs, train(training_sample(docs, key, text, lang)), text, keep)
+    return predict(docs, learn(docs, key, text, lang), text, keep)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
