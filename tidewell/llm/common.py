@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,12 @@ from pyspark.sql import types as T
 
 #: Text bytes that one step of a mapped function sees at a time.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch; a batch of texts is held by the executor and by its worker.
+BATCH_ROWS = 512
+#: Rows of two 64-bit values that may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 500_000
+#: Rows of one key from which a join splits it, and the most keys that it splits.
+HOT_ROWS, HOT_KEYS = 20_000, 10_000
 
 U64 = np.uint64
 
@@ -27,10 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; set one only where none is named."""
+    """Use the shared folder the cluster names; a local master may do with one of this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
 
 
@@ -39,6 +49,60 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Hand freed memory of a worker back to the system: workers serve many tasks, of other operators too."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_arrow(source: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in small batches."""
+    small_batches(source.sparkSession)
+
+    @wraps(run)
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return source.mapInArrow(lean, schema)
+
+
+def map_groups(rows: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """applyInArrow; the caller sees to groups of a bounded size."""
+    small_batches(rows.sparkSession)
+
+    @wraps(run)
+    def lean(table_: pa.Table) -> pa.Table:
+        made = run(table_)
+        give_back()
+        return made
+
+    return rows.groupBy(key).applyInArrow(lean, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def join_hot(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of distinct keys, where some keys may have a large share of the rows.
+
+    A written table of few rows is broadcast.  Else the rows of keys with over HOT_ROWS rows are dealt to several
+    tasks, each of which gets a copy of the key's row of `small`.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), on, how)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = checkpoint(counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts)).drop("_parts")
+    copies = small.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about `limit` text bytes, one row at least."""
     import pyarrow.compute as pc
@@ -87,7 +151,7 @@ def map_text(
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(got, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(i) for i in kept] + arrays, names=out_names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

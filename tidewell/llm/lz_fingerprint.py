@@ -11,7 +11,8 @@ of each range also goes to the range before it, so each range is complete and te
 
 Edge cases: null texts count as empty; an empty text has the empty fingerprint, two of which have
 likeness 1; rows of equal doc_id follow in the order of their texts; the next document of a sole row is
-itself; null ids come first; an empty table gives an empty result.
+itself; null ids come first; very long texts are parsed whole, one at a time; other columns of the input, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, span_hashes, table
+from .common import map_arrow, shuffle_partitions, slices, span_hashes, table
 
 SIZE = 128
 
@@ -92,7 +93,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 sigs = [spelled(signature(t, parse(t)[0], size)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(sigs, pa.string())], names=[key, "n_chars", "fingerprint"])
 
-    return source.mapInArrow(run, f"`{key}` {kind}, n_chars bigint, fingerprint string")
+    return map_arrow(source, run, f"`{key}` {kind}, n_chars bigint, fingerprint string")
 
 
 def _range_of(key: str, edges: list[int]) -> Column:
@@ -143,7 +144,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
         while some := list(islice(rows, 256)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
 
-    result = rows.mapInArrow(run, f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    result = map_arrow(rows, run, f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return result.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 

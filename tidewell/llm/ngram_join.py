@@ -15,36 +15,42 @@ brings only that many columns (`columns`), and a partner shares at least need(n)
    |columns| - need(n) + 1 leaves, can hold a partner's first meeting.
 3. Classes that meet in such a column are candidates.  The most typical class of a column (with the highest
    mean log count over its columns) leads it, and the classes under one leader form a block of rows.  Near
-   copies share most columns and so one leader: a block stands for many columns.  Large blocks are cut
-   into chunks, and each pair of chunks is a task's work of its own.
+   copies share most columns and so one leader: a block stands for many columns.
 4. In a block the full rows are multiplied: overlap counts of all pairs, with common columns as a dense
    product and rare ones pair by pair, are held against the size bound.  Links come out as the edges of a
-   spanning forest, not as pairs.
+   spanning forest, not as pairs.  A large block is cut into chunks, each with the leader in it, so this step's
+   work is linear in the classes.
+5. What its block's leader and chunks have tied together needs no more products.  Only the classes that stay
+   outside of their block's largest component (strays) are multiplied with the chunks they weren't in, and of
+   these only with chunks whose sizes the size bound allows.
 
-So copies of one text, and large groups of near copies, make rows in proportion to their members.
+So copies of one text, and large groups of near copies, make rows in proportion to their members.  A column
+that unlike documents share in great number costs strays times members of the pairs of chunks left.
 
 Edge cases: null and empty texts, and texts of white space only, have an empty set and link with nothing; fewer words than a shingle has
 are one shingle; repeated rows are members of the same class; null ids count for no component's
-smallest id; an empty table gives an empty result.  Hashes are 64-bit: of 10**9 distinct shingles, a given
+smallest id; very long texts have large sets and so smaller chunks; other columns of the input, whatever their
+names, don't matter; an empty table gives an empty result.  Hashes are 64-bit: of 10**9 distinct shingles, a given
 pair of sets is affected by a collision with a probability below 10**-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, checkpoint, mix64, ngram_hashes, shuffle_partitions, slices, table, word_hashes
+from .common import BROADCAST_ROWS, SPACED, checkpoint, join_hot, map_arrow, map_groups, mix64, ngram_hashes, slices, table, word_hashes
 
 NGRAM, PERCENT = 4, 85
-#: Rows of two 64-bit values that may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
-#: Most classes of a block that one task multiplies with those of another chunk (about).
-CHUNK = 700
+#: Most classes of a chunk and bytes of their sets (about).
+CHUNK, CHUNK_BYTES = 700, 4 << 20
+#: Bytes that a group given to a worker has (about).
+GROUP_BYTES = 8 << 20
 
 
 def shingle_sets(texts: list, n: int = NGRAM) -> list[np.ndarray]:
@@ -86,22 +92,41 @@ def need(n: int, percent: int = PERCENT) -> int:
     return _common(n - missing(n, percent), percent)
 
 
-def members_of(docs: DataFrame, key: str, text: str, ngram: int = NGRAM) -> DataFrame:
-    """key, th (a hash of the text), n_shingles and class of each row."""
-    source = docs.select(F.col(key), F.col(text).cast("string").alias("_t"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_key, _t and _th (a hash of the text): nothing else of the input is read."""
+    body = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{key}`").alias("_key"), body.alias("_t"), F.xxhash64(body).alias("_th"))
+
+
+def members_of(source: DataFrame, ngram: int = NGRAM) -> DataFrame:
+    """_key, _th, n (shingles) and c (class) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist(), ngram)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=[key, "th", "n", "c"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["_key", "_th", "n", "c"])
+
+    return map_arrow(source, run, f"_key {source.schema[0].dataType.simpleString()}, _th bigint, n bigint, c bigint")
+
+
+def _missing(n: Column, percent: int) -> Column:
+    return F.floor((100 - percent) * n / 100).cast("int")
+
+
+def _shared(n: Column, percent: int) -> Column:
+    return F.least(n - _missing(n, percent), F.floor(18 * n / 100).cast("int") + 4)
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, th bigint, n bigint, c bigint")
 
+def groups_for(size: int | None) -> int:
+    """How many groups of about GROUP_BYTES make up so many bytes."""
+    return max(1, math.ceil((size or 0) / GROUP_BYTES))
 
-def shared_columns(docs: DataFrame, text: str, percent: int, ngram: int) -> DataFrame:
+
+def shared_columns(source: DataFrame, classes: DataFrame, percent: int, ngram: int) -> DataFrame:
     """(c, h, df) for the columns h of class c that other classes have too; df: how many classes do."""
-    count = 2 * shuffle_partitions(docs.sparkSession)
+    # A column takes 16 bytes; classes that lie in several slices are sent by each, so some more than this.
+    count = groups_for(classes.agg(F.sum(F.col("p") * F.lit(16) * F.least("rows", F.lit(64)))).first()[0])
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,34 +158,29 @@ def shared_columns(docs: DataFrame, text: str, percent: int, ngram: int) -> Data
         many = np.repeat(df > 1, df)
         return pa.table({"c": c[many], "h": h[many].view(np.int64), "df": np.repeat(df, df)[many]})
 
-    blocks = docs.select(F.col(text).cast("string")).mapInArrow(incidence, "block bigint, h binary, c binary")
-    return blocks.groupBy("block").applyInArrow(count_columns, "c bigint, h bigint, df bigint")
-
+    blocks = map_arrow(source.select("_t"), incidence, "block bigint, h binary, c binary")
+    return map_groups(blocks, "block", count_columns, "c bigint, h bigint, df bigint")
 
-def candidates(docs: DataFrame, classes: DataFrame, text: str, percent: int, ngram: int) -> DataFrame:
-    """(h, c, w): the classes that may have partners, under each column in which they may meet one, and how
-    typical they are (w)."""
-    d = F.floor((100 - percent) * F.col("n") / 100).cast("int")
 
-    def common(n):
-        return F.least(n - F.floor((100 - percent) * n / 100).cast("int"), F.floor(18 * n / 100).cast("int") + 4)
-
-    bound = classes.select("c", "n", F.least(F.col("n").cast("int"), d + common(F.col("n").cast("int"))).alias("p"), common((F.col("n") - d).cast("int")).alias("need"))
-    gathered = shared_columns(docs, text, percent, ngram).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
+def candidates(source: DataFrame, classes: DataFrame, percent: int, ngram: int) -> DataFrame:
+    """(h, c, n, w): the classes that may have partners, under each column in which they may meet one, their sizes and
+    how typical they are (w)."""
+    n = F.col("n").cast("int")
+    bound = classes.withColumn("need", _shared(n - _missing(n, percent), percent))
+    gathered = shared_columns(source, classes, percent, ngram).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     able = gathered.join(bound, "c").where(F.size("x") >= F.col("need"))
     # The columns that no other class has come first in order of rarity.
     meet = F.slice("x", F.lit(1), F.size("x") - F.col("need") + 1)
     typical = F.aggregate("x", F.lit(0.0), lambda total, e: total + F.log(e["df"].cast("double"))) / F.col("p")
-    return able.select("c", typical.alias("w"), F.explode(meet["h"]).alias("h"))
+    return able.select("c", "n", typical.alias("w"), F.explode(meet["h"]).alias("h"))
 
 
-def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str, text: str, ngram: int) -> DataFrame:
+def class_sets(source: DataFrame, members: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     """(c, s): the full sets, as bytes, of the wanted classes, from one document of each."""
-    one = members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("th", key)).alias("x")).select("x.*")
+    one = members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("_th", "_key")).alias("x")).select(F.col("x._th").alias("h1"), F.col("x._key").alias("k1"))
     if wanted.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
-    source = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"), F.xxhash64(F.col(text).cast("string")).alias("_th"))
-    chosen = source.join(one, (F.col("_th") == F.col("th")) & F.col("_k").eqNullSafe(F.col(key)), "left_semi").select("_t")
+    chosen = source.join(one, (F.col("_th") == F.col("h1")) & F.col("_key").eqNullSafe(F.col("k1")), "left_semi").select("_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +188,7 @@ def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str,
                 sets = shingle_sets(part.column(0).to_pylist(), ngram)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
 
-    return checkpoint(chosen.mapInArrow(run, "c bigint, s binary").dropDuplicates(["c"]))
+    return checkpoint(map_arrow(chosen, run, "c bigint, s binary").dropDuplicates(["c"]))
 
 
 def overlaps(sets: list[np.ndarray], dense: int = 16, width: int = 2048) -> np.ndarray:
@@ -223,24 +243,60 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
     return edges
 
 
-def block_rows(met: DataFrame) -> DataFrame:
-    """(lead, i, j, c): each block's classes, once for each pair (i <= j) of chunks that its own is in."""
-    lead = met.groupBy("h").agg(F.max(F.struct("w", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("x.c").alias("lead"))
-    blocks = met.join(lead, "h").select("lead", "c").distinct()
-    chunks = blocks.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 0")
-    placed = blocks.join(chunks, "lead").withColumn("at", F.pmod(F.xxhash64("c"), F.col("chunks")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
-    return placed.select("lead", "c", "at", F.explode(pairs).alias("p")).select("lead", "p.i", "p.j", "at", "c")
+def blocks_of(met: DataFrame) -> DataFrame:
+    """(lead, c, n, chunks): each block's classes, and how many chunks it is cut into."""
+    lead = checkpoint(met.groupBy("h").agg(F.max(F.struct("w", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("x.c").alias("lead")))
+    blocks = checkpoint(join_hot(met.select("h", "c", "n"), lead, ["h"]).select("lead", "c", "n").distinct())
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES))
+    cut = blocks.groupBy("lead").agg(many.alias("chunks")).where("chunks > 1")
+    return join_hot(blocks, checkpoint(cut), ["lead"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+
 
+def chunk_rows(blocks: DataFrame) -> DataFrame:
+    """(lead, chunk, side, c, n): each chunk's classes, and its block's leader with them."""
+    own = F.array(F.pmod(F.xxhash64("c"), F.col("chunks")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
+    chunk = F.explode(F.when(F.col("c") == F.col("lead"), every).otherwise(own))
+    return blocks.select("lead", chunk.alias("chunk"), F.lit(0).alias("side"), "c", "n")
 
-def linked_classes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that span all links within the blocks."""
-    buckets = 4 * shuffle_partitions(rows.sparkSession)
-    work = rows.join(sets, "c").withColumn("task", F.pmod(F.xxhash64("lead", "i", "j"), F.lit(buckets)))
+
+def stray_rows(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(lead, chunk, side, c, n): the classes outside of their block's largest component (side 0) with the classes of the
+    block (side 1), for each two chunks that the size bound lets link.
+
+    A band of sizes is so wide that classes more than one band apart can't link.
+    """
+    width = math.log(100 / percent) * (1 + 1e-6)
+    banded = blocks.withColumn("band", F.floor(F.log("n") / width))
+    rooted = checkpoint(join_hot(banded, labels, ["c"], "left").select("lead", "c", "n", "band", F.coalesce("root", "c").alias("root")))
+    most = rooted.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("lead").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    marked = join_hot(rooted, checkpoint(most), ["lead"]).withColumn("stray", F.col("root") != F.col("main"))
+
+    def cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES))
+        counts = checkpoint(rows.groupBy("lead", "band").agg(many.alias("parts")))
+        placed = join_hot(rows, counts, ["lead", "band"]).withColumn("cell", F.pmod(F.xxhash64("c"), F.col("parts"))).select("lead", "band", "cell", "c", "n")
+        return placed, counts.select("lead", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("cell"))
+
+    strays, stray_cells = cells(marked.where("stray"))
+    others, other_cells = cells(marked)
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near")
+    pairs = stray_cells.select("lead", F.col("band").alias("b"), F.col("cell").alias("s"), near).withColumnRenamed("near", "band")
+    pairs = checkpoint(pairs.join(other_cells, ["lead", "band"]))
+    name = F.xxhash64("b", "s", "band", "cell").alias("chunk")
+    left = strays.withColumnsRenamed({"band": "b", "cell": "s"}).join(pairs, ["lead", "b", "s"]).select("lead", name, F.lit(0).alias("side"), "c", "n")
+    right = others.join(pairs, ["lead", "band", "cell"]).select("lead", name, F.lit(1).alias("side"), "c", "n")
+    return left.unionByName(right)
+
+
+def linked_classes(rows: DataFrame, sets: DataFrame, percent: int, across: bool = False) -> DataFrame:
+    """Edges (a, b) that span all links within the chunks, or between the two sides of each."""
+    count = groups_for(rows.agg(F.sum(F.col("n") * 8)).first()[0])
+    work = rows.join(sets, "c").withColumn("task", F.pmod(F.xxhash64("lead", "chunk"), F.lit(count)))
 
     def multiply(table_: pa.Table) -> pa.Table:
-        key = [table_.column(x).to_numpy() for x in ("lead", "i", "j")]
-        c, at = table_.column("c").to_numpy(), table_.column("at").to_numpy()
+        key = [table_.column(x).to_numpy() for x in ("lead", "chunk")]
+        c, side = table_.column("c").to_numpy(), table_.column("side").to_numpy()
         raw = [x.as_buffer() for x in table_.column("s")]
         order = np.lexsort((c, *key))
         cuts = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in key], axis=0)) + 1
@@ -248,13 +304,11 @@ def linked_classes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         b: list[int] = []
         for block in np.split(order, cuts):
             if len(block) > 1:
-                first = block[0]
-                across = at[block] if key[1][first] != key[2][first] else None
-                for x, y in forest([np.frombuffer(raw[r], np.uint64) for r in block], across, percent):
+                for x, y in forest([np.frombuffer(raw[r], np.uint64) for r in block], side[block] if across else None, percent):
                     a.append(int(c[block[x]])), b.append(int(c[block[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return work.groupBy("task").applyInArrow(multiply, "a bigint, b bigint")
+    return map_groups(work.select("task", "lead", "chunk", "side", "c", "s"), "task", multiply, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,27 +329,39 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("c", F.col("new").alias("root"))
 
 
-def class_components(docs: DataFrame, members: DataFrame, key: str, text: str, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
+def class_components(source: DataFrame, members: DataFrame, percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
     """(c, root) for the classes that link with another."""
-    classes = members.where("n > 0").select("c", "n").distinct()
-    rows = checkpoint(block_rows(checkpoint(candidates(docs, classes, text, percent, ngram))))
-    sets = class_sets(docs, members, rows.select("c").distinct(), key, text, ngram)
-    return components(checkpoint(linked_classes(rows, sets, percent)))
+    n = F.col("n").cast("int")
+    classes = members.where("n > 0").groupBy("c", "n").agg(F.count(F.lit(1)).alias("rows"))
+    classes = classes.withColumn("p", F.least(n, _missing(n, percent) + _shared(n, percent)))
+    blocks = blocks_of(checkpoint(candidates(source, classes, percent, ngram)))
+    sets = class_sets(source, members, blocks.select("c").distinct(), ngram)
+    edges = checkpoint(linked_classes(chunk_rows(blocks), sets, percent))
+    labels = components(edges)
+    large = blocks.where("chunks > 1")
+    if large.isEmpty():
+        return labels
+    rows = checkpoint(stray_rows(large, labels, percent))
+    if rows.isEmpty():
+        return labels
+    return components(edges.union(checkpoint(linked_classes(rows, sets, percent, across=True)).where("a <> b")))
 
 
 def rooted_members(docs: DataFrame, key: str, text: str, percent: int, ngram: int) -> DataFrame:
-    """members_of, with the root of each row's component."""
-    members = checkpoint(members_of(docs, key, text, ngram))
-    labels = class_components(docs, members, key, text, percent, ngram)
-    return members.join(labels, "c", "left").select(key, "th", "n", "c", F.coalesce("root", "c").alias("root"))
+    """_key, _th, n, c of each row with the root of its component."""
+    source = keyed(docs, key, text)
+    members = checkpoint(members_of(source, ngram))
+    labels = class_components(source, members, percent, ngram)
+    return join_hot(members, labels, ["c"], "left").select("_key", "_th", "n", "c", F.coalesce("root", "c").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
     """key, n_shingles, component_id (the least key of the component) and class_id of each row."""
-    rooted = rooted_members(docs, key, text, percent, ngram).drop("th")
-    least = rooted.where("n > 0").groupBy("root").agg(F.min(key).alias("least"))
-    joined = rooted.join(least, "root", "left")
-    return joined.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("least")).alias("component_id"), F.col("c").alias("class_id"))
+    rooted = checkpoint(rooted_members(docs, key, text, percent, ngram))
+    # A row alone in its component is its least.
+    least = rooted.where("n > 0").groupBy("root").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    joined = join_hot(rooted, checkpoint(least), ["root"], "left")
+    return joined.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.coalesce("least", "_key")).alias("component_id"), F.col("c").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, ngram: int = NGRAM) -> DataFrame:
@@ -304,20 +370,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     Rows are told apart by key and text, so another text under the key of a removed row stays.  Rows with an
     empty set are in no component and all stay.
     """
-    rows = rooted_members(docs, key, text, percent, ngram).where("n > 0").groupBy("root", F.col(key).alias("_k"), "th").agg(F.count(F.lit(1)).alias("times"))
+    rows = rooted_members(docs, key, text, percent, ngram).where("n > 0").groupBy("root", F.col("_key").alias("_k"), "_th").agg(F.count(F.lit(1)).alias("times"))
     rows = checkpoint(rows)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "th")).alias("first"))
-    stays = F.col("_k").eqNullSafe(F.col("first._k")) & (F.col("th") == F.col("first.th"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_th")).alias("first"), F.sum("times").alias("k"))
     # A component of a single row has nothing to remove.
-    told = checkpoint(rows.join(first, "root").withColumn("stays", stays).where(~F.col("stays") | (F.col("times") > 1)).select("_k", F.col("th").alias("_th"), "stays"))
+    first = checkpoint(least.where("k > 1").select("root", F.col("first._k").alias("_k1"), F.col("first._th").alias("_h1")))
+    stays = F.col("_k").eqNullSafe(F.col("_k1")) & (F.col("_th") == F.col("_h1"))
+    told = checkpoint(join_hot(rows, first, ["root"]).withColumn("_stays", stays).where(~F.col("_stays") | (F.col("times") > 1)).select(F.col("_k").alias("__key"), F.col("_th").alias("__told"), F.col("_stays").alias("__stays")))
     if told.count() <= BROADCAST_ROWS:
         told = F.broadcast(told)
-    names = docs.columns
-    marked = docs.withColumn("_h", F.xxhash64(F.col(text).cast("string"))).join(told, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_th")), "left")
-    kept = marked.where(F.col("stays").isNull()).select(names)
-    if told.where("stays").isEmpty():
+    names = [f"`{c}`" for c in docs.columns]
+    marked = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text}`").cast("string"))).join(told, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__told")), "left")
+    kept = marked.where(F.col("__stays").isNull()).select(*names)
+    if told.where("__stays").isEmpty():
         return kept
-    return kept.union(marked.where("stays").dropDuplicates(["_k", "_h"]).select(names))
+    return kept.union(marked.where("__stays").dropDuplicates(["__key", "__hash"]).select(*names))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import map_arrow, slices, table
 
 LIMIT, END_ID = 2048, 1
 #: Bits of a sequence number that hold the bucket.
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * ids
-    pieces = source.mapInArrow(run, schema)
+    pieces = map_arrow(source, run, schema)
     bucket = F.log2("length").cast("int")
     number = F.shiftleft(F.monotonically_increasing_id(), BUCKET_BITS)
     return pieces.withColumns({"bucket": bucket, "sequence_id": number + bucket, "offset": F.lit(0).cast("bigint")})
