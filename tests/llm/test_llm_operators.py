@@ -190,8 +190,8 @@ def plain_contamination(text, items):
     return len(mine), len(hit), sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 60])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [decontaminate.BLOCK_WINDOWS, 1, 2])
+def test_decontamination(spark, block_windows):
     items = [(10, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (9, "Short item"), (8, None), (7, "..."), (11, "é È ünder"), (9, "short item")]
     bodies = [
         "ONE two, three four five six seven eight nine ten eleven twelve thirteen -- and then",
@@ -203,7 +203,7 @@ def test_decontamination(spark, block_bytes):
         "é È ünder",
     ]
     docs = spark.createDataFrame([(i, b, i) for i, b in enumerate(bodies)], "doc_id bigint, text string, n_hit int")
-    marked = decontaminate.mark_contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+    marked = decontaminate.mark_contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_windows=block_windows)
     for r in marked.collect():
         n, h, digest = plain_contamination(bodies[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["items_sha256"], r["contaminated"]) == (n, h, digest, h > 0 and 20 * h >= n)
@@ -294,6 +294,29 @@ def test_ngram_join_chunks(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == plain_components(rows)
 
 
+def test_near_copies_of_one_text_make_linear_rows(spark, monkeypatch):
+    """In a block of near copies each class is multiplied once, and only strays meet the other chunks."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 20)
+    made = []
+    monkeypatch.setattr(ngram_join, "linked_classes", lambda rows, sets, percent, across=False, f=ngram_join.linked_classes: made.append((across, rows.count())) or f(rows, sets, percent, across))
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i % 119], f"x{i}", *words[i % 119 + 1 :]])) for i in range(400)]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["component_id"] for r in found.collect()} == {0}
+    first = next(n for across, n in made if not across)
+    assert first <= 2 * 400 and not any(n for across, n in made if across)
+
+
+def test_ngram_join_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "g h i j", 5, 6)]
+    for names in (["c", "text", "n", "root"], ["_key", "h", "th", "_th"], ["least", "lead", "band", "k"]):
+        docs = spark.createDataFrame(rows, names)
+        found = ngram_join.near_duplicates(docs, names[0], names[1])
+        assert sorted((r[0], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]
+        left = ngram_join.one_of_each(docs, names[0], names[1])
+        assert left.columns == names and sorted(r[0] for r in left.collect()) == [1, 3]
+
+
 def test_ngram_join_bounds():
     random = np.random.default_rng(5)
     sets = [np.unique(random.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
@@ -341,11 +364,38 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_weights_move_rows_only_into_the_grown_shard(spark):
-    keys = spark.range(2000).select(F.col("id").cast("string").alias("k"))
-    before, after = (sharding.standard_tree(10), sharding.standard_tree(10, {3: 2.0}))
-    both = keys.select(sharding.place(F.col("k"), before)["least"]["least"]["shard"].alias("a"), sharding.place(F.col("k"), after)["least"]["least"]["shard"].alias("b"))
-    assert both.where("a <> b").select("b").distinct().collect() == [(3,)]
+def test_weights_move_rows_only_through_the_changed_nodes(spark):
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
+    before, after = ([(r["region"], r["rack"], r["shard"]) for r in sharding.place(keys, "k", sharding.standard_tree(40, w)).orderBy(F.col("k").cast("int")).collect()] for w in ({}, {3: 3.0}))
+    moved = [(a, b) for a, b in zip(before, after, strict=True) if a != b]
+    assert len(moved) > 100
+    for a, b in moved:
+        if a[0] != b[0]:
+            assert b[0] == 0
+        elif a[1] != b[1]:
+            assert b[:2] == (0, 0)
+        else:
+            assert b == (0, 0, 3)
+    share = sum(b[2] == 3 for b in after) / len(after)
+    assert abs(share - 3 / 42) < 0.015
+    # Fewer weight in a rack sends keys away from it, and a shard without any gets none.
+    none = [(r["region"], r["shard"]) for r in sharding.place(keys, "k", sharding.standard_tree(40, {3: 0.0})).orderBy(F.col("k").cast("int")).collect()]
+    assert all(s != 3 for _, s in none) and all(b[0] == 1 or b[1] // 20 == a[0] for a, b in zip(before, none, strict=True) if a[0] == 0)
+    assert all(b[1] == a[2] for a, b in zip(before, none, strict=True) if a[0] == 1)
+
+
+def test_further_shards_take_rows_only_into_themselves(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    at = {n: {r["doc_id"]: r["shard"] for r in sharding.shard_documents(many, shards=n).collect()} for n in (40, 41, 42, 43)}
+    for n in (40, 41, 42):
+        assert all(at[n + 1][k] in (s, n) for k, s in at[n].items()) and n in at[n + 1].values()
+
+
+def test_sharding_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 2), (2, "b" * 100_000, None, 3), (2, "b" * 100_000, None, 3)], "doc_id bigint, text string, shard string, _key int")
+    rows = sharding.shard_documents(docs.withColumn("size", F.lit(1)).withColumn("region", F.lit(1)).withColumn("_hash", F.lit(1))).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in rows) == [(1, 17), (2, 100_016), (2, 100_016)]
+    assert sorted(r["slot"] for r in rows if r["doc_id"] == 2) in ([0, 1], [1, 2])
 
 
 # Either case of the ASCII letters alone.

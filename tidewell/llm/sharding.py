@@ -1,14 +1,18 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame expressions only.
 
-A tree has regions, racks and shards, and each shard has a weight.  For a key, a shard draws
--ln(u)/weight with u from a hash of key and shard, an exponential time with the weight as its rate.  A
-rack draws the least of its shards' times and a region the least of its racks': exponentials at the
-summed weights, so every level is a weighted draw.  A key descends to the region with the least time,
-then to the rack, then to the shard.  A shard whose weight grows, or that is new, can only win keys
-(others' times stay the same), so movement stays in the subtrees whose weights change.
-
-Edge cases: a null key hashes like the empty string; a null text has size 16 and checksum 0; repeated
-rows get slots of their own; an empty table gives an empty result.
+A tree has regions, racks and shards; each shard has a weight, and a rack or region the sum of those below.
+For a key, a node draws -ln(u)/weight with u from a hash of key and node: an exponential time with the weight as
+its rate.  A key goes to the region of the least time, there to the rack of the least time, and there to
+the shard of the least time.  These are 11 draws a key in the standard tree of 40 shards.
+
+A draw depends on its own node only.  So if weights change in one rack, keys move between that rack's region and
+others only as the region's weight moved, within the region only to or from that rack, and not at all among
+the other racks or regions.  From SHARDS shards on, one more opens a region of its own, whose draw alone decides: it
+takes rows into itself, and no other row moves.
+
+Edge cases: a null key hashes like the empty string; a null text has size 16 and checksum 0; very long texts count
+by their bytes and aren't shuffled; nodes without weight get nothing; repeated rows get slots of their own;
+other columns of the input, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,59 +28,72 @@ RACK, REGION = 5, 4
 DIGITS = 2
 
 
-def standard_tree(shards: int, weights: dict[int, float] | None = None) -> list[tuple[int, list[tuple[int, list[tuple[int, float]]]]]]:
-    """Regions of REGION racks of RACK shards, filled in order; equal weights unless given."""
-    tree = []
-    per_region = RACK * REGION
-    for region in range(-(-shards // per_region)):
-        racks = []
-        for rack in range(REGION):
-            first = region * per_region + rack * RACK
-            leaves = [(s, float((weights or {}).get(s, 1.0))) for s in range(first, min(first + RACK, shards))]
-            if leaves:
-                racks.append((rack, leaves))
-        tree.append((region, racks))
-    return tree
+#: Shards of the tree before shards are added one by one.
+SHARDS = 40
 
+Tree = list[tuple[int, list[tuple[int, list[tuple[int, float]]]]]]
 
-def _draw(key: Column, shard: Column, weight: Column) -> Column:
-    digest = F.md5(F.concat_ws(":", key, shard.cast("string")))
-    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(16**12))
-    return -F.log(u) / weight
 
+def standard_tree(shards: int = SHARDS, weights: dict[int, float] | None = None) -> Tree:
+    """Regions of REGION racks of RACK shards, filled in order up to SHARDS; then a region for each further shard."""
 
-def _leaf(shard: int, weight: float) -> Column:
-    return F.struct(F.lit(shard).alias("shard"), F.lit(weight).alias("weight"))
+    def leaves(first: int, stop: int) -> list[tuple[int, float]]:
+        return [(s, float((weights or {}).get(s, 1.0))) for s in range(first, stop)]
 
+    tree, first = [], min(shards, SHARDS)
+    for region in range(-(-first // (RACK * REGION))):
+        starts = [region * RACK * REGION + rack * RACK for rack in range(REGION)]
+        tree.append((region, [(rack, leaves(s, min(s + RACK, first))) for rack, s in enumerate(starts) if s < first]))
+    return tree + [(len(tree) + i, [(0, leaves(s, s + 1))]) for i, s in enumerate(range(first, shards))]
 
-def _literal(tree: list) -> Column:
-    def racks(below: list) -> Column:
-        return F.array(*[F.struct(F.array(*[_leaf(*x) for x in leaves if x[1] > 0]).alias("shards"), F.lit(rack).alias("rack")) for rack, leaves in below])
 
-    return F.array(*[F.struct(racks(below).alias("racks"), F.lit(region).alias("region")) for region, below in tree])
+def _draw(key: Column, node: Column, weight: Column) -> Column:
+    digest = F.md5(F.concat_ws(":", key, node))
+    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(16**12))
+    return -F.log(u) / weight
 
 
-def place(key: Column, tree: list) -> Column:
-    """Struct of region, rack, shard and the shard's time t for a string key.
+def _weighed(tree: Tree) -> list[tuple[float, str, int, list]]:
+    """(weight, name, number, racks) of each region, of its racks alike, and of their shards, without those of weight 0."""
+    regions = []
+    for region, racks in tree:
+        below = []
+        for rack, leaves in racks:
+            shards = [(w, f"s{s}", s) for s, w in leaves if w > 0]
+            if shards:
+                below.append((sum(w for w, *_ in shards), f"r{region}k{rack}", rack, shards))
+        if below:
+            regions.append((sum(w for w, *_ in below), f"r{region}", region, below))
+    if not regions:
+        raise ValueError("a tree needs a shard with a weight")
+    return regions
 
-    A minimum of structs is the one with the least first field, so each level's winner brings along
-    what won below it.
-    """
 
-    def shard_of(rack: Column) -> Column:
-        return F.array_min(F.transform(rack["shards"], lambda s: F.struct(_draw(key, s["shard"], s["weight"]).alias("t"), s["shard"].alias("shard"))))
+def _literal(nodes: list) -> Column:
+    """Nodes as an array of structs, inner ones with theirs."""
+    fields = [[F.lit(float(n[0])).alias("weight"), F.lit(n[1]).alias("name"), F.lit(n[2]).alias("number")] for n in nodes]
+    return F.array(*[F.struct(*f, *([_literal(n[3]).alias("below")] if len(n) > 3 else [])) for f, n in zip(fields, nodes, strict=True)])
 
-    def rack_of(region: Column) -> Column:
-        return F.array_min(F.transform(region["racks"], lambda k: F.struct(shard_of(k).alias("least"), k["rack"].alias("rack"))))
 
-    return F.array_min(F.transform(_literal(tree), lambda r: F.struct(rack_of(r).alias("least"), r["region"].alias("region"))))
+def _least(key: Column, nodes: Column, below: bool = True) -> Column:
+    """The node that draws the least time: a minimum of structs goes by the first field."""
+    return F.array_min(F.transform(nodes, lambda n: F.struct(_draw(key, n["name"], n["weight"]).alias("t"), n["number"].alias("number"), *([n["below"].alias("below")] if below else []))))
 
 
-def grown(key: Column, placed: Column, shard: int, weight: float = 1.0) -> Column:
-    """Where a key goes when the tree has one more shard: to that shard if it draws the least time,
-    else it stays, for no other time changes."""
-    least = placed["least"]["least"]
-    return F.when(_draw(key, F.lit(shard), F.lit(weight)) < least["t"], F.lit(shard)).otherwise(least["shard"])
+def place(rows: DataFrame, key: str, tree: Tree) -> DataFrame:
+    """Adds region, rack, shard and the region's time _t for a string key: one level after another."""
+    found = rows.withColumn("_region", _least(F.col(key), _literal(_weighed(tree))))
+    found = found.withColumn("_rack", _least(F.col(key), F.col("_region.below")))
+    found = found.withColumn("_shard", _least(F.col(key), F.col("_rack.below"), below=False))
+    # Not nullable: else a join adds a filter that draws again.
+    at = {name: F.coalesce(F.col(f"_{name}.number"), F.lit(0)) for name in ("region", "rack", "shard")}
+    return found.withColumns(at | {"_t": F.col("_region.t")}).drop("_region", "_rack", "_shard")
+
+
+def grown(key: Column, time: Column, shard: Column, new: int, region: int, weight: float = 1.0) -> Column:
+    """Where a placed key goes when the tree has one more shard, in a region of its own: there if that draws less than
+    the key's region did, else it stays, for no other draw changes."""
+    return F.when(_draw(key, F.lit(f"r{region}"), F.lit(weight)) < time, F.lit(new)).otherwise(shard)
 
 
 def number_within(df: DataFrame, shard: str, bucket: str, order: list[str], slot: str) -> DataFrame:
@@ -93,32 +110,20 @@ def number_within(df: DataFrame, shard: str, bucket: str, order: list[str], slot
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40) -> DataFrame:
     """One row per row of docs: key, size, text_crc32, law, region, rack, shard, slot, grown_shard."""
-    as_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    as_key = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(key),
+        F.col(f"`{key}`").alias("_id"),
         (F.octet_length(body).cast("bigint") + 16).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         as_key.alias("_key"),
         F.md5(as_key).alias("_hash"),
     )
-    placed = rows.select(
-        key,
-        "size",
-        "text_crc32",
-        "_hash",
-        F.substring("_hash", 1, DIGITS).alias("_bucket"),
-        "_key",
-        place(F.col("_key"), standard_tree(shards)).alias("_at"),
-    ).select(
-        "*",
-        F.col("_at.region").alias("region"),
-        F.col("_at.least.rack").alias("rack"),
-        F.coalesce(F.col("_at.least.least.shard"), F.lit(0)).alias("shard"),  # not nullable: else the join adds a filter that draws again
-        grown(F.col("_key"), F.col("_at"), shards).alias("grown_shard"),
-    )
-    numbered = number_within(placed.drop("_at", "_key"), "shard", "_bucket", ["_hash", key, "text_crc32", "size"], "slot")
-    return numbered.select(key, "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "slot", "grown_shard")
+    tree = standard_tree(shards)
+    placed = place(rows.withColumn("_bucket", F.substring("_hash", 1, DIGITS)), "_key", tree)
+    placed = placed.withColumn("grown_shard", grown(F.col("_key"), F.col("_t"), F.col("shard"), shards, len(tree)))
+    numbered = number_within(placed.drop("_t", "_key"), "shard", "_bucket", ["_hash", "_id", "text_crc32", "size"], "slot")
+    return numbered.select(F.col("_id").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "slot", "grown_shard")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +131,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    def draws(shards: int) -> str:
-        return (
-            f"(SELECT arg_min(s, -ln((('0x' || substr(md5(k || ':' || s), 1, 12))::BIGINT + 0.5) / {float(16**12):.1f})) "
-            f"FROM range({shards}) r(s))::INTEGER"
-        )
+    per_region, regions = RACK * REGION, str(SHARDS // (RACK * REGION))
+    first = f"region * {per_region} + rack * {RACK}"
+
+    def draw(name: str, weight: str) -> str:
+        return f"-ln((('0x' || substr(md5(k || ':' || {name}), 1, 12))::BIGINT + 0.5) / {float(16**12):.1f}) / {weight}"
+
+    def level(of: str, names: str, weight: str, numbers: str) -> str:
+        return f"(SELECT {of}({'n, ' if of == 'arg_min' else ''}{draw(names, weight)}) FROM range({numbers}) x(n))"
 
     def crc_nibble(value: int) -> int:
         for _ in range(4):
@@ -147,11 +155,13 @@ def _oracle() -> str:
     )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, coalesce(text, '') AS t FROM documents),
-p AS (SELECT doc_id, octet_length(encode(t))::BIGINT + 16 AS size, ({crc})::BIGINT AS text_crc32,
-        {draws(40)} AS shard, {draws(41)} AS grown_shard, md5(k) AS h FROM d)
-SELECT doc_id, size, text_crc32, 'key' AS law, (shard // {RACK * REGION})::INTEGER AS region,
-       (shard % {RACK * REGION} // {RACK})::INTEGER AS rack, shard,
-       (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+r AS (SELECT doc_id, octet_length(encode(t))::BIGINT + 16 AS size, ({crc})::BIGINT AS text_crc32, k, md5(k) AS h,
+        {level("arg_min", "'r' || n", f"{per_region}.0", regions)} AS region, {level("min", "'r' || n", f"{per_region}.0", regions)} AS time FROM d),
+q AS (SELECT *, {level("arg_min", "'r' || region || 'k' || n", f"{RACK}.0", str(REGION))} AS rack FROM r),
+p AS (SELECT *, ({first} + {level("arg_min", f"'s' || ({first} + n)", "1.0", str(RACK))})::INTEGER AS shard FROM q)
+SELECT doc_id, size, text_crc32, 'key' AS law, region::INTEGER AS region, rack::INTEGER AS rack, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, text_crc32, size) - 1)::BIGINT AS slot,
+       (CASE WHEN {draw(f"'r{regions}'", "1.0")} < time THEN {SHARDS} ELSE shard END)::INTEGER AS grown_shard
 FROM p"""
 
 
