@@ -98,12 +98,41 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.md5(text.fold("text").cast("binary")).alias("folded"))
 
 
+@query("txt_freetext", f"SELECT doc_id, len(w)::BIGINT AS tokens, md5(array_to_string(w, ' ')) AS words FROM (SELECT doc_id, {text_sql.free_text('text')} AS w FROM documents)")
+def _(t: Tables):
+    words = t.documents.select("doc_id", text.free_text("text").alias("w"))
+    return words.select("doc_id", F.size("w").cast("bigint").alias("tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
+
+
+# What each class of rules makes of a text, by hand: (text, full chain, standard).
+SAMPLES = (
+    ("Über Ål!", "yber aal", "über ål"),
+    ("ä æ ö ø čř α ΘΦ", "æ æ ø ø cr a thph", "ä æ ö ø čř α θφ"),
+    ("a:b x*y c*-algebra", "ab x*y cstaralgebra", "ab x*y c* algebra"),
+    (".Net vs C* Algebra? C++/C#", "dotnet vs cstaralgebra cplusplus csharp", "net vs c* algebra c c#"),
+    ("Foo-%4g 123/>erW'd;_=foo", "foo %4g 123 erw d foo", "foo %4g 123 erw d foo"),
+    ("1½ km² “quoted” (no)", "11 2 km 2 quoted no", "11 2 km 2 quoted no"),
+    ("Straße Œuvre þing ™", "strasse oeuvre thing tm", "straße œuvre þing ™"),
+    ("a\u00a0b\u2028c\u3000d e\u0301", "a b c d e", "a b c d e"),
+)
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text_sql._q, r)) + ")" for r in rows) + ")"
+
+
+@query("txt_rules", f"SELECT given, full_chain, standard FROM {_values(SAMPLES)} x(given, full_chain, standard)")
+def _(t: Tables):
+    given = t.spark.createDataFrame([(r[0],) for r in SAMPLES], "given string")
+    return given.select("given", F.array_join(text.folded("given"), " ").alias("full_chain"), F.array_join(text.standard("given"), " ").alias("standard"))
+
+
 @query("txt_sortkey", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS sortkey FROM part")
 def _(t: Tables):
     return t.part.select("p_partkey", text.symbols_removed("p_name").alias("sortkey"))
 
 
-@query("txt_keyword", f"SELECT p_partkey, array_to_string({text_sql.tokens(chr(39) + 'A_' + chr(39) + ' || p_name')}, ' ') AS keyword, translate(p_brand, '-_:/', '') AS number FROM part")
+@query("txt_keyword", f"SELECT p_partkey, array_to_string({text_sql.tokens(chr(39) + 'A ' + chr(39) + ' || p_name')}, ' ') AS keyword, translate(p_brand, '-_:/', '') AS number FROM part")
 def _(t: Tables):
     return t.part.select("p_partkey", text.keyword(F.concat(F.lit("A_"), "p_name"))[0].alias("keyword"), text.number("p_brand")[0].alias("number"))
 
