@@ -25,6 +25,12 @@ def test_merged_facets(both):
     assert sorted((r["term"], r["count"]) for r in counts.collect()) == [("da", 1), ("en", 2)]
 
 
+def test_merged_groups_and_proposals(both):
+    groups = both.search(Request("*", group="lang", rows=5))
+    assert sorted((r["lang"], r["num_found"], r["id"]) for r in groups.collect()) == [("dansk", 2, 3), ("en", 2, 1)]
+    assert both.did_you_mean("fix", "text").first()["term"] == "fox"
+
+
 def test_cache_and_balance(both):
     now = [0.0]
     cached = CachedSearch(lambda r: both.search(r), 10, 1, lambda: now[0])

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalar
-from tidewell.operators import browse, facets, federation, graph, layout, records, suggest
+from tidewell.index import IndexSearcher, write_index
+from tidewell.operators import browse, facets, federation, filters, graph, layout, records, suggest
 from tidewell.search import Request, Searcher, SearchService
 from tidewell.sources import files, marc, sinks
+from tidewell.streaming.incremental import RecordReader
 
 
 def one(spark, column):
@@ -162,8 +164,92 @@ def test_archives(spark, tmp_path):
         z.writestr("y.txt", "y")
     (tmp_path / "z.xml.gz").write_bytes(gzip.compress(b"<z/>"))
     (tmp_path / "bad.zip").write_bytes(b"no archive")
-    found = files.read_archives(files.read_files(spark, str(tmp_path)), "*.xml")
-    assert sorted(bytes(r["content"]) for r in found.collect()) == [b"<a/>", b"<z/>"]
+    data = b"deep"
+    for _ in range(12):
+        data = gzip.compress(data)
+    (tmp_path / ("deep.xml" + ".gz" * 12)).write_bytes(data)
+    found = files.read_archives(files.read_files(spark, str(tmp_path)), "*.xml").collect()
+    assert sorted(bytes(r["content"]) for r in found if r["error"] is None) == [b"<a/>", b"<z/>", b"deep"]
+    broken = [r for r in found if r["error"]]
+    assert len(broken) == 1 and broken[0]["name"].endswith("bad.zip") and broken[0]["content"] is None
+
+
+def test_listings(spark):
+    listing = spark.createDataFrame([("a\r\nb\n\n c ",)], "content string")
+    assert files.pulled(listing) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        files.pulled(listing, most=2)
+
+
+def test_row_functions(spark):
+    table = spark.createDataFrame([(1, "a", 1.5), (2, None, None), (3, "c", 3.5)], "id bigint, v string, w double")
+
+    def upper(row):
+        return row | {"v": row["v"].upper()}
+
+    assert rows(filters.each(table, upper), "id", "v", "w") == [(1, "A", 1.5), (3, "C", 3.5)]
+    marked = {r["id"]: r["error"] for r in filters.each(table, upper, errors="mark").collect()}
+    assert marked[1] is None and marked[2].startswith("AttributeError")
+
+    def stop(row):
+        raise filters.Fatal("enough")
+
+    with pytest.raises(Exception, match="enough"):
+        filters.each(table, stop).collect()
+    with pytest.raises(KeyError):
+        filters.plugged(table, ["nowhere"])
+
+
+def test_batches_of_bytes(spark):
+    table = spark.createDataFrame([(i, "x" * 10) for i in range(10)], "id bigint, content string")
+    got = [r["batch"] for r in filters.batched(table, ["id"], 6, 25).orderBy("id").collect()]
+    assert [(b["rows"], b["part"]) for b in got] == [(0, 0)] * 3 + [(0, 1)] * 2 + [(0, 2)] + [(1, 0)] * 3 + [(1, 1)]
+
+
+def test_upsert_nulls(spark):
+    schema = "id string, a string, b string, mtime bigint"
+    old = spark.createDataFrame([("k", "x", None, 1), ("l", None, None, 1)], schema)
+    new = spark.createDataFrame([("k", None, "x", 2), ("l", None, None, 2)], schema)
+    assert sorted(map(tuple, records.upsert(old, new, "mtime", try_update=True).collect())) == [("k", None, "x", 2), ("l", None, None, 1)]
+
+
+def test_top_of_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "parent string, child string")
+    roots = spark.createDataFrame([("a",), ("y",), ("z",)], "id string")
+    assert rows(graph.top_ancestor(roots, edges), "root", "top") == [("a", "b"), ("y", "x"), ("z", "z")]
+    assert rows(graph.top_ancestor(roots, edges, 1), "root", "top") == [("a", "c"), ("y", "x"), ("z", "z")]
+
+
+def test_search_storage(spark):
+    docs = spark.createDataFrame([(f"r{i}", "x") for i in range(120)], "id string, v string")
+    storage = records.SearchStorage(Searcher(docs, "id", {"v": "verbatim"}))
+    assert storage.multi_get([f"r{i}" for i in range(60, 200)]).count() == 60 and storage.get("r5").count() == 1
+    with pytest.raises(NotImplementedError):
+        storage.flush([])
+    with pytest.raises(PermissionError):
+        storage.get("__private__")
+
+
+def test_reader_limits(spark, tmp_path):
+    table = spark.createDataFrame([(i, "a" if i % 2 else "b", i // 3) for i in range(20)], "id bigint, base string, mtime bigint")
+    seen = []
+    reader = RecordReader(lambda: table, str(tmp_path / "mark"), base="a")
+    assert reader.run(lambda part: seen.extend(r["id"] for r in part.collect()), most=4, total=7) == 7
+    again = RecordReader(lambda: table, str(tmp_path / "mark"), base="a")
+    assert again.run(lambda part: seen.extend(r["id"] for r in part.collect())) == 3 and sorted(seen) == list(range(1, 20, 2))
+    assert RecordReader(lambda: table, str(tmp_path / "mark"), base="a", from_scratch=True).next().count() == 10
+    assert again.run(lambda part: None, seconds=0.5, follow=True, pause=0.1) == 0
+
+
+def test_index_of_several_values(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["red fox", "blue hen"], "en"), (2, ["fox red"], None), (3, None, "da")], "id bigint, text array<string>, lang string")
+    searcher = Searcher(docs, "id", {"text": "text", "lang": "verbatim"}, ["text"])
+    write_index(searcher, str(tmp_path / "i"))
+    index = IndexSearcher(spark, str(tmp_path / "i"), "id", searcher.fields, ["text"])
+    for text in ("red", '"red fox"', "red -lang:en", "nowhere:x OR hen", "-lang:da", "*", "lang:en OR lang:da", "re* AND fo?", "nothing"):
+        assert rows(index.matches(text), "id") == rows(searcher.matches(text), "id"), text
+        a, b = ([(r["id"], round(r["score"], 9)) for r in s.scored(text).orderBy("id").collect()] for s in (index, searcher))
+        assert a == b, text
 
 
 def test_marc_round_trip(spark, tmp_path):

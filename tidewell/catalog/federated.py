@@ -42,12 +42,6 @@ def _(t: Tables):
     return federation.adjust_scores(t.documents.select("doc_id", F.col("n_chars").cast("double").alias("score")), 1.5, 10.0)
 
 
-@query("fed_enforce")
-def _(t: Tables):
-    merged = federation.merge(_gathered(t, 0, 60), "score")
-    return federation.enforce(merged, {"src2": 5}, "some query", 15).select("id", "source", "position")
-
-
 @query("fed_facets", "SELECT field, term, count, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY count DESC, term) AS rank FROM (SELECT 'type' AS field, p_type AS term, count(*) AS count FROM part GROUP BY 2 UNION ALL SELECT 'brand', p_brand, count(*) FROM part GROUP BY 2)) WHERE rank <= 4")
 def _(t: Tables):
     def counts(where: str):

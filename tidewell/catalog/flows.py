@@ -57,33 +57,75 @@ def _event_stream(t: Tables):
     return incremental.read_table_stream(t.spark, f"{t.sf_dir}/events*.parquet", batch.schema)
 
 
-def _place(t: Tables) -> tuple[str, str]:
-    """A name for a memory table, and a checkpoint folder in the shared place."""
-    session.checkpoint(t.spark.range(1))
-    name = f"stream_{uuid.uuid4().hex}"
-    return name, f"{t.spark.sparkContext.getCheckpointDir()}/{name}"
+def _place(t: Tables) -> str:
+    """A new folder in the shared place."""
+    return f"{session.shared_folder(t.spark)}/work_{uuid.uuid4().hex}"
 
 
 @query("str_dedup_state", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t: Tables):
     stream = incremental.drop_repeats(_event_stream(t).select("user_id", "event_type"), ["user_id", "event_type"])
-    return incremental.drain(stream, *_place(t))
+    return incremental.drain(stream, _place(t))
 
 
 @query("str_suggest_state", f"SELECT query, hits, count FROM {FOLD_SQL}")
 def _(t: Tables):
     log = _event_stream(t).select(F.concat_ws(" ", "event_type", F.col("user_id") % 20).alias("query"), F.when(F.col("event_id") % 37 == 0, 0).otherwise(F.col("event_id") % 100 + 1).alias("hits"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    updates = incremental.drain(incremental.suggestion_stream(log), *_place(t), mode="update")
+    updates = incremental.drain(incremental.suggestion_stream(log), _place(t), "update", ("normalized",))
     return updates.where(~F.col("deleted")).select("query", "hits", "count")
 
 
+def _in_parts(t: Tables) -> str:
+    """The events in several files, one after another in time."""
+    place = _place(t)
+    days = [None, "2024-01-08", "2024-01-15", "2024-01-22", None]
+    for start, stop in zip(days[:-1], days[1:], strict=True):
+        rows = t.events
+        rows = rows if start is None else rows.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        rows = rows if stop is None else rows.where(F.col("ts") < F.lit(stop).cast("timestamp_ntz"))
+        rows.coalesce(1).write.mode("append").parquet(place)
+    return place
+
+
+def _suggestions_of_parts(t: Tables):
+    stream = incremental.read_table_stream(t.spark, _in_parts(t), t.events.schema, files_per_trigger=1)
+    log = stream.select(F.concat_ws(" ", "event_type", F.col("user_id") % 20).alias("query"), F.when(F.col("event_id") % 37 == 0, 0).otherwise(F.col("event_id") % 100 + 1).alias("hits"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    updates = incremental.drain(incremental.suggestion_stream(log), _place(t), "update", ("normalized",))
+    return updates.where(~F.col("deleted")).select("query", "hits", "count")
+
+
+@query("str_suggest_batches", f"SELECT query, hits, count FROM {FOLD_SQL}")
+def _(t: Tables):
+    return _suggestions_of_parts(t)
+
+
+@query("str_reader_steps", "SELECT count(*) AS rows, max(event_id) AS last, 3::BIGINT AS steps FROM events")
+def _(t: Tables):
+    """A reader that stops after a step and another that goes on from its mark."""
+    progress, size = _place(t), -(-t.events.count() // 3)
+    rows, steps = [], []
+    for total in (size, None):
+        reader = incremental.RecordReader(lambda: t.events.select("event_id", "ts"), progress, time="ts", key="event_id")
+        reader.run(lambda part: (rows.append(part), steps.append(1)), most=size, total=total)
+    whole = rows[0].union(rows[1]).union(rows[2]) if len(rows) == 3 else rows[0]
+    return whole.agg(F.count_distinct("event_id").alias("rows"), F.max("event_id").alias("last")).withColumn("steps", F.lit(len(steps)).cast("bigint"))
+
+
+@query("str_changed_bases", "SELECT event_type AS base FROM events GROUP BY 1 HAVING max(event_id) > 990")
+def _(t: Tables):
+    seen = {r["base"]: 990 for r in t.events.select(F.col("event_type").alias("base")).distinct().collect()}
+    found = incremental.changed_bases(t.events.select(F.col("event_type").alias("base"), F.col("event_id").alias("mtime")), seen)
+    return t.spark.createDataFrame([(b,) for b in found], "base string")
+
+
 @query("str_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS count FROM events GROUP BY ALL")
 def _(t: Tables):
     stream = _event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = incremental.drain(incremental.windowed_counts(stream, "ts", "1 day", "1 day", "event_type"), *_place(t), mode="complete")
+    counts = incremental.drain(incremental.windowed_counts(stream, "ts", "1 day", "1 day", "event_type"), _place(t), "complete")
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "count")
 
 
 @query("sug_batch_equals_stream", f"SELECT count(*) AS queries FROM {FOLD_SQL}")
 def _(t: Tables):
-    return suggest.fold(_log(t), ["ts", "event_id"]).agg(F.count(F.lit(1)).alias("queries"))
+    batch = suggest.fold(_log(t), ["ts", "event_id"]).select("query", "hits", "count")
+    return batch.join(_suggestions_of_parts(t), ["query", "hits", "count"]).agg(F.count(F.lit(1)).alias("queries"))

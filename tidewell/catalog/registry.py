@@ -6,7 +6,7 @@ import importlib
 
 from .common import ORACLE_SQL, QUERIES
 
-MODULES = ("storage", "facets", "searching", "dataflow", "federated", "flows")
+MODULES = ("storage", "facets", "searching", "dataflow", "federated", "flows", "rewriting", "stores")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scalar
 from tidewell.operators import graph, records
+from tidewell.search import Searcher
 
 from .common import RECORDS_SQL, Tables, query
 
@@ -72,7 +73,40 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.events.select("user_id", "event_id", "event_type")
-    return records.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "event_id", "user_id")
+    stored = records.upsert(rows.where("false"), rows.where("event_id % 2 = 0"), "event_id", "user_id")
+    return records.upsert(stored, rows.where("event_id % 2 = 1"), "event_id", "user_id")
+
+
+@query(
+    "rec_try_update",
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'x' END AS a, CASE WHEN p_partkey % 3 = 1 THEN 'x' END AS b, CASE WHEN p_partkey % 3 = 2 THEN 1 ELSE 2 END::BIGINT AS mtime FROM part""",
+)
+def _(t: Tables):
+    """Of three in a row, one comes in with its value in another column, one anew with nulls for values, one as it is stored."""
+    kind = F.col("id") % 3
+    rows = t.part.select(F.col("p_partkey").alias("id"))
+
+    def version(mtime: int, first: int, second: int):
+        return rows.select("id", F.when(kind == first, "x").alias("a"), F.when(kind == second, "x").alias("b"), F.lit(mtime).cast("bigint").alias("mtime"))
+
+    return records.upsert(version(1, 1, 0), version(2, 0, 1), "mtime", try_update=True)
+
+
+@query(
+    "rec_get_tree",
+    "SELECT 'n' || n_nationkey AS id, 0 AS depth FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'r' || n_regionkey, -1 FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'c' || c_custkey, 1 FROM customer WHERE c_nationkey = 3 "
+    "UNION ALL SELECT 'o' || o_orderkey, 2 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3",
+)
+def _(t: Tables):
+    edges = _places(t)
+    stored = edges.select(F.col("child").alias("id")).union(edges.select("parent")).distinct()
+    return records.get_tree(stored, edges, "n3").select("id", "depth")
+
+
+@query("rec_search_storage", "SELECT doc_id, lang FROM documents WHERE doc_id % 9 = 1 AND doc_id < 900")
+def _(t: Tables):
+    searcher = Searcher(t.documents.select("doc_id", "lang"), "doc_id", {"lang": "verbatim"})
+    return records.SearchStorage(searcher).multi_get(list(range(1, 900, 9)))
 
 
 @query("rec_clear_base", f"SELECT base, count(*) FILTER (WHERE NOT deleted AND base <> 'src3') AS live FROM {RECORDS_SQL} GROUP BY base")
@@ -108,11 +142,11 @@ def _(t: Tables):
 
 @query(
     "rec_aggregate_storage",
-    f"""SELECT id, CASE WHEN id < 100 THEN 'old' WHEN base IN ('src0', 'src1') THEN 'hot' END AS storage FROM {RECORDS_SQL} WHERE id % 4 IN (0, 1)""",
+    f"""SELECT id, CASE WHEN id < 100 THEN 'old' WHEN base IN ('src0', 'src1') THEN 'hot' END AS storage FROM {RECORDS_SQL}""",
 )
 def _(t: Tables):
     stored = t.records
-    whole = records.aggregate([stored.where("id % 4 = 0"), stored.where("id % 4 = 1")])
+    whole = records.aggregate([stored.where("id % 2 = 0"), stored.where("id % 2 = 1")])
     return records.route(whole, [("old", F.col("id") < 100), ("hot", F.col("base").isin("src0", "src1"))]).select("id", "storage")
 
 
@@ -151,10 +185,10 @@ def _(t: Tables):
     return graph.children_of(items, _edges(t), t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
 
 
-@query("rel_parents", f"SELECT e.child, o_orderkey AS id, o_orderstatus FROM {EDGES_SQL} e JOIN orders ON o_orderkey = e.parent WHERE e.child % 3 = 0")
+@query("rel_parents", f"SELECT e.child, o_orderkey AS id, o_orderstatus FROM {EDGES_SQL} e JOIN orders ON o_orderkey = e.parent")
 def _(t: Tables):
     orders = t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus")
-    return graph.parents_of(orders, _edges(t), _edges(t).where("child % 3 = 0").select(F.col("child").alias("id")))
+    return graph.parents_of(orders, _edges(t), _edges(t).select(F.col("child").alias("id")))
 
 
 @query("rel_related_ids", "SELECT o_custkey AS id, o_orderkey + 1000000000 AS related FROM orders UNION SELECT o_orderkey + 1000000000, o_custkey FROM orders")
@@ -196,17 +230,18 @@ def _(t: Tables):
     return graph.by_relatives(orders, edges, "child", "require")
 
 
-@query("rel_disallow_children", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("rel_disallow_children", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def _(t: Tables):
-    return graph.by_relatives(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child")), "child", "disallow")
+    large = t.orders.where("o_totalprice > 300000")
+    return graph.by_relatives(t.customer.select(F.col("c_custkey").alias("id")), large.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child")), "child", "disallow")
 
 
 @query(
     "rel_require_all_stored",
-    "SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND (doc_id + 2 IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) AND doc_id * 2 IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0))",
+    "SELECT doc_id AS id FROM documents WHERE doc_id + 2 IN (SELECT doc_id FROM documents) AND doc_id * 2 IN (SELECT doc_id FROM documents)",
 )
 def _(t: Tables):
-    docs = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    docs = t.documents.select(F.col("doc_id").alias("id"))
     edges = docs.select(F.col("id").alias("parent"), F.explode(F.array(F.col("id") + 2, F.col("id") * 2)).alias("child"))
     return graph.by_relatives(docs, edges, "child", "require", "all")
 
@@ -232,11 +267,11 @@ def _(t: Tables):
 @query(
     "rel_expand_cycles",
     """WITH RECURSIVE e AS (SELECT doc_id AS parent, doc_id - doc_id % 3 + (doc_id + 1) % 3 AS child FROM documents),
-    x AS (SELECT doc_id AS root, doc_id AS node FROM documents WHERE doc_id % 3 = 0 UNION SELECT root, child FROM x JOIN e ON e.parent = x.node) SELECT root, node FROM x""",
+    x AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT root, child FROM x JOIN e ON e.parent = x.node) SELECT root, node FROM x""",
 )
 def _(t: Tables):
     edges = t.documents.select(F.col("doc_id").alias("parent"), (F.col("doc_id") - F.col("doc_id") % 3 + (F.col("doc_id") + 1) % 3).alias("child"))
-    return graph.expand(t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), edges, -1).select("root", "node")
+    return graph.expand(t.documents.select(F.col("doc_id").alias("id")), edges, -1).select("root", "node")
 
 
 @query(
@@ -248,10 +283,17 @@ def _(t: Tables):
     return graph.touched(changed, _places(t), limit=3)
 
 
-@query("rel_top_ancestor", "SELECT 'o' || o_orderkey AS root, 'r' || n_regionkey AS top FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 300000")
+@query("rel_top_ancestor", "SELECT 'o' || o_orderkey AS root, 'r' || n_regionkey AS top FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def _(t: Tables):
+    roots = t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    return graph.top_ancestor(roots, _places(t))
+
+
+@query("rel_top_ancestor_deep", "SELECT doc_id AS root, doc_id - doc_id % 20 AS top FROM documents")
 def _(t: Tables):
-    roots = t.orders.where("o_totalprice > 300000").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
-    return graph.top_ancestor(roots, _places(t), 4)
+    """Chains of twenty."""
+    docs = t.documents.select(F.col("doc_id").alias("id"))
+    return graph.top_ancestor(docs, docs.where("id % 20 <> 0").select((F.col("id") - 1).alias("parent"), F.col("id").alias("child")))
 
 
 @query("rel_clear_child_edges", f"SELECT parent, child FROM {EDGES_SQL} WHERE parent % 10 <> 0")

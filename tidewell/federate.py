@@ -11,7 +11,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators import facets, federation
+from tidewell.functions.text import ANALYZERS
+from tidewell.operators import browse, facets, federation, postings, suggest
 from tidewell.plans import rewrite
 from tidewell.plans.ast import show
 from tidewell.plans.parser import parse_raw
@@ -53,7 +54,12 @@ class Federation:
         self.mode, self.order = mode, order or list(sources)
 
     def search(self, request: Request, wanted: list[str] | None = None, enforce: dict[str, int] | None = None) -> DataFrame:
-        """One page of merged rows.  Each source gives its rows from 0 to the page's end."""
+        """One page of merged rows.  Each source gives its rows from 0 to the page's end.
+
+        A grouped request's groups are merged whatever the mode: counts summed, documents ranked anew.
+        """
+        if request.group:
+            return self._grouped(request, wanted)
         chosen = federation.route_requests(self.sources, wanted)
         found = {}
         for name, searcher in chosen.items():
@@ -67,14 +73,35 @@ class Federation:
             merged = federation.enforce(merged, enforce, request.query or "").where((F.col("position") >= request.start) & (F.col("position") < request.start + request.rows))
         return merged
 
-    def facet(self, request: Request, wanted: list[str] | None = None, limit: int = 100) -> dict[str, DataFrame]:
-        """Facets of all sources' hits, tags renamed by each source's map and counts summed."""
+    def _grouped(self, request: Request, wanted: list[str] | None) -> DataFrame:
+        parts = []
+        for name, searcher in federation.route_requests(self.sources, wanted).items():
+            adjusted = self.adjustments.get(name, Adjustment())
+            # All groups: one that is small here may be large in the whole.
+            hits = adjusted.scores(searcher.scored(adjusted.request(request).query, adjusted.request(request).filters), request.query)
+            found = hits.groupBy(request.group).agg(F.count(F.lit(1)).alias("num_found"))
+            best = browse.best_of_each(hits.withColumnRenamed(searcher.key, "id"), request.group, request.group_limit, key="id")
+            parts.append(best.join(found, request.group).select(request.group, "num_found", "id", "score"))
+        return browse.merge_groups(parts, request.group, request.group_limit, request.rows, key="id")
+
+    def did_you_mean(self, word: str, field: str, limit: int = 5, wanted: list[str] | None = None) -> DataFrame:
+        """Proposals of all sources together, the best first."""
+        parts = []
+        for name, searcher in federation.route_requests(self.sources, wanted).items():
+            own = self.adjustments.get(name, Adjustment()).fields.get(field, [field])[0]
+            terms = postings.extract(searcher.docs, [own], ANALYZERS[searcher.fields.get(own, "default")])
+            parts.append(suggest.did_you_mean(terms, word, limit).select("term", (1 / (1 + F.col("distance"))).alias("score")))
+        return federation.merge_proposals(parts, limit)
+
+    def facet(self, request: Request, wanted: list[str] | None = None) -> dict[str, DataFrame]:
+        """Facets of all sources' hits, tags renamed by each source's map, whole counts summed, and then cut as asked."""
+        asked = {f.name: f for f in facets.parse_request(request.facets or "")}
         parts: dict[str, list[DataFrame]] = {}
         for name, searcher in federation.route_requests(self.sources, wanted).items():
             adjusted = self.adjustments.get(name, Adjustment())
-            for facet, counts in searcher.facet(adjusted.request(request)).items():
+            for facet, counts in searcher.facet(adjusted.request(request), whole=True).items():
                 parts.setdefault(facet, []).append(facets.map_tags(counts, adjusted.tags) if adjusted.tags else counts.select("term", "count"))
-        return {facet: facets.merge(counts, limit) for facet, counts in parts.items()}
+        return {facet: facets.answer(facets.summed(counts), asked[facet]) for facet, counts in parts.items()}
 
 
 class CachedSearch:

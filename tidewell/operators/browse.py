@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DELTA, LENGTH, MOST = -5, 20, 10_000
+DELTA, LENGTH = -5, 20
 
 
 def index_lookup(counts: DataFrame, term: str, delta: int = DELTA, length: int = LENGTH, min_count: int = 0, case_sensitive: bool = False, locale: str | None = None) -> DataFrame:
@@ -16,7 +16,6 @@ def index_lookup(counts: DataFrame, term: str, delta: int = DELTA, length: int =
     The window starts delta terms from there (not before the first term) and has length terms.  Only its two
     halves are sorted, each as a top-k.
     """
-    length = min(length, MOST)
     folded = F.col("term") if case_sensitive else F.lower("term")
     wanted = F.lit(term if case_sensitive else term.lower())
     key, at = (F.collate(folded, locale), F.collate(wanted, locale)) if locale else (folded, wanted)
@@ -69,17 +68,29 @@ def group_results(hits: DataFrame, group: str, group_limit: int = 1, rows: int =
     Groups are ordered by their best document.  Counts and best scores are aggregated before anything is
     ranked; then only the chosen groups' documents are.
     """
-    best = hits.groupBy(group).agg(F.count(F.lit(1)).alias("num_found"), F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k"))).alias("_best"))
-    chosen = best.orderBy(F.desc("_best"), group).limit(rows).withColumn("group_rank", F.row_number().over(Window.orderBy(F.desc("_best"), group)))
+    # The best is the least by the negated score, so that keys of any type order upwards.
+    worth = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    best = hits.groupBy(group).agg(F.count(F.lit(1)).alias("num_found"), F.min(F.struct(worth.alias("s"), F.col(key).alias("k"))).alias("_best"))
+    chosen = best.orderBy("_best", group).limit(rows).withColumn("group_rank", F.row_number().over(Window.orderBy("_best", group)))
     ranked = hits.join(F.broadcast(chosen.drop("_best")), group).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)))
     return ranked.where(F.col("rank") <= group_limit).select(group, "num_found", "group_rank", "rank", key, score)
 
 
+def best_of_each(hits: DataFrame, group: str, limit: int = 1, score: str = "score", key: str = "doc_id") -> DataFrame:
+    """The best documents of every group; of a single one a minimum by group, with a partial step, else ranked."""
+    order = [F.desc(score), F.col(key)]
+    if limit == 1:
+        worth = F.struct(F.coalesce(-F.col(score).cast("double"), F.lit(float("inf"))), F.col(key))
+        return hits.groupBy(group).agg(F.min_by(F.struct(key, score), worth).alias("_best")).select(group, "_best.*")
+    ranked = hits.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.where(F.col("_rank") <= limit).select(group, key, score)
+
+
 def merge_groups(parts: list[DataFrame], group: str, group_limit: int = 1, rows: int = 10, score: str = "score", key: str = "doc_id") -> DataFrame:
     """Grouped results of several sources: counts of the same group summed, documents ranked anew."""
-    whole = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
+    whole = reduce(DataFrame.unionByName, [p.select(group, "num_found", key, score).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
     found = whole.select(group, "_part", "num_found").distinct().groupBy(group).agg(F.sum("num_found").alias("num_found"))
-    merged = group_results(whole.drop("num_found", "group_rank", "rank"), group, group_limit, rows, score, key).drop("num_found")
+    merged = group_results(whole.drop("num_found", "_part"), group, group_limit, rows, score, key).drop("num_found")
     return merged.join(found, group).select(group, "num_found", "group_rank", "rank", key, score)
 
 

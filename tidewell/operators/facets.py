@@ -86,12 +86,16 @@ def totals(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
 def merge(parts: list[DataFrame], limit: int = 100, how: str = "sum") -> DataFrame:
     """Counts of the same terms from several sources, summed; reliabilities unite bit by bit."""
+    return summed(parts, how).orderBy(F.desc("count"), "term").limit(limit)
+
+
+def summed(parts: list[DataFrame], how: str = "sum") -> DataFrame:
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     folded = {"sum": F.sum, "min": F.min, "max": F.max}[how]("count").alias("count")
     aggregates = [folded]
     if "reliability" in whole.columns:
         aggregates.append(F.bit_or(F.coalesce("reliability", F.lit(PRECISE))).alias("reliability"))
-    return whole.groupBy("term").agg(*aggregates).where(F.col("term") != "").orderBy(F.desc("count"), "term").limit(limit)
+    return whole.groupBy("term").agg(*aggregates).where(F.col("term") != "")
 
 
 def parse_map(text: str) -> list[tuple[str, str]]:

@@ -54,7 +54,7 @@ def merge(rows: DataFrame, mode: str = "score", order: list[str] | None = None,
 def enforce(merged: DataFrame, rules: dict[str, int], query: str, top: int = 20, only_if_none: bool = False, key: str = "id") -> DataFrame:
     """Puts rows of sources into the top rows if too few are there: "at least n of this source".
 
-    The places are drawn from a hash of query and row, so the same query gives the same list.  only_if_none:
+    The places are drawn from an MD5 of query and row, so the same query gives the same list.  only_if_none:
     a rule holds only for a source of which there is no row in the top.  The merged page is bounded by its
     size; all is rank arithmetic on it.
     """
@@ -68,7 +68,8 @@ def enforce(merged: DataFrame, rules: dict[str, int], query: str, top: int = 20,
     missing = F.when((F.col("_inside") == 0) | F.lit(not only_if_none), wanted - F.col("_inside")).otherwise(0)
     moved = (F.col("position") >= top) & (F.col("_n") <= missing)
     room = F.lit(max(1, top - sum(rules.values())))
-    drawn = F.pmod(F.xxhash64(seed, F.col(key)), room).cast("double")
+    digest = F.md5(F.concat(seed, F.lit(":"), F.col(key).cast("string")).cast("binary"))
+    drawn = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), room).cast("double")
     ranked = rows.withColumn("_target", F.when(moved, drawn + 0.5).otherwise(F.col("_target")))
     return ranked.withColumn("position", F.row_number().over(Window.orderBy("_target", "position")) - 1).drop("_target", "_inside", "_n")
 
@@ -93,6 +94,12 @@ def merge_suggestions(parts: list[DataFrame], limit: int = 10) -> DataFrame:
     return whole.groupBy("query").agg(F.sum("hits").alias("hits"), F.max("count").alias("count")).orderBy(F.desc("count"), "query").limit(limit)
 
 
+def merge_proposals(parts: list[DataFrame], limit: int | None = None) -> DataFrame:
+    """Spelling proposals (term, score) of several sources, each kept with its score, the best first."""
+    whole = reduce(DataFrame.unionByName, [p.select("term", "score") for p in parts]).orderBy(F.desc("score"), "term")
+    return whole if limit is None else whole.limit(limit)
+
+
 def merge_highlights(parts: list[DataFrame]) -> DataFrame:
     """(id, field, fragments): the fragments of all sources, each once and in order."""
     whole = reduce(DataFrame.unionByName, parts)

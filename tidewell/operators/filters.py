@@ -17,6 +17,100 @@ def sequence(*steps: Step) -> Step:
     return lambda df: reduce(lambda rows, step: step(rows), steps, df)
 
 
+class Fatal(Exception):
+    """Raised by a row function to stop the whole run; any other exception concerns its row alone."""
+
+
+def each(df: DataFrame, function: Callable[[dict], dict | None], schema=None, errors: str = "drop", mark: str = "error") -> DataFrame:
+    """Rows through a function of one row as a dict; it gives the new row, or None to drop it.
+
+    A row at which it raises is dropped, or kept as it came with the message in a column (`mark`); Fatal ends the run.
+    """
+    from pyspark.sql import types as T
+
+    target = T._parse_datatype_string(schema) if isinstance(schema, str) else (schema or df.schema)
+    keep = errors == "mark"
+    shown = T.StructType([*target.fields, T.StructField(mark, T.StringType())]) if keep else target
+    names = target.fieldNames()
+
+    def run(rows):
+        for row in rows:
+            given = row.asDict(recursive=False)
+            try:
+                made = function(dict(given))
+            except Fatal:
+                raise
+            except Exception as problem:  # any failure of a user's function concerns its row
+                if keep:
+                    yield (*[given.get(n) for n in names], f"{type(problem).__name__}: {problem}")
+                continue
+            if made is not None:
+                yield (*[made.get(n) for n in names], None) if keep else tuple(made.get(n) for n in names)
+
+    def batches(parts):
+        import pandas as pd
+        from pyspark.sql import Row
+
+        for part in parts:
+            rows = (Row(**{k: None if _is_missing(v) else v for k, v in r.items()}) for r in part.to_dict("records"))
+            yield pd.DataFrame(list(run(rows)), columns=shown.fieldNames(), dtype=object)
+
+    return df.mapInPandas(batches, shown)
+
+
+def _is_missing(value) -> bool:
+    return value is None or (isinstance(value, float) and value != value)
+
+
+#: Row functions and parsers by name, for configurations that name them.
+PLUGGED: dict[str, Callable] = {}
+
+
+def plug(name: str) -> Callable:
+    """Registers a step (a function of a DataFrame) under a name."""
+
+    def register(function: Callable) -> Callable:
+        if name in PLUGGED:
+            raise ValueError(f"{name} is taken")
+        PLUGGED[name] = function
+        return function
+
+    return register
+
+
+def plugged(df: DataFrame, steps: list[str | tuple[str, dict]]) -> DataFrame:
+    """The named steps in order, each with its options."""
+    for step in steps:
+        name, options = (step, {}) if isinstance(step, str) else step
+        if name not in PLUGGED:
+            raise KeyError(f"no step is called {name}")
+        df = PLUGGED[name](df, **options)
+    return df
+
+
+def batched(df: DataFrame, order: list[str], most_rows: int, most_bytes: int | None = None, size: str = "content", batch: str = "batch") -> DataFrame:
+    """Rows with the number of their batch in the order: of at most so many rows, and of about so many bytes.
+
+    Bytes are counted over the rows before, so a batch may exceed them by its last row.
+    """
+    placed = _numbered(df, order).withColumn(batch, F.floor((F.col("_p") - 1) / most_rows))
+    if most_bytes is None:
+        return placed.drop("_p")
+    bytes_ = F.coalesce(F.octet_length(F.col(size).cast("binary")), F.lit(0)).cast("bigint")
+    before = F.sum(bytes_).over(Window.partitionBy(batch).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.floor(F.coalesce(before, F.lit(0)) / most_bytes)
+    return placed.withColumn("_part", part).withColumn(batch, F.struct(F.col(batch).alias("rows"), F.col("_part").alias("part"))).drop("_p", "_part")
+
+
+def content_to_stream(df: DataFrame, content: str = "content", stream: str = "stream", charset: str = "UTF-8") -> DataFrame:
+    """A record's text as the bytes that a parser reads; the text goes."""
+    return df.withColumn(stream, F.encode(F.col(content).cast("string"), charset)).drop(content)
+
+
+def stream_to_content(df: DataFrame, stream: str = "stream", content: str = "content", charset: str = "UTF-8") -> DataFrame:
+    return df.withColumn(content, F.decode(stream, charset)).drop(stream)
+
+
 def discard(df: DataFrame, condition: Column, how: str = "drop", mark: str = "discarded") -> DataFrame:
     """Rows for which the condition holds are dropped, or marked in a column.  An unknown condition keeps."""
     bad = F.coalesce(condition, F.lit(False))
@@ -46,13 +140,18 @@ def by_amount(df: DataFrame, patterns: dict[str, list[str]], compare: str = "mor
     return df.where({"less": n < amount, "equal": n == amount, "more": n > amount}[compare])
 
 
-def _numbered(df: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
+#: Rows that one task ranks (about), and the most ranges.
+RANGE_ROWS, MOST_RANGES = 1 << 20, 4096
+
+
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with `_p`, their 1-based place in the order, without sorting all of them in one task.
 
-    Rows are dealt into ranges of the first order column (by quantiles), ranked in each, and the counts of
-    the ranges before are added; a range has about 1/ranges of the rows unless a value repeats.
+    Rows are dealt into ranges of the first order column (by quantiles), as many as their number asks for, ranked
+    in each, and the counts of the ranges before are added.
     """
     first = order[0]
+    ranges = min(MOST_RANGES, max(8, -(-df.count() // RANGE_ROWS)))
     bounds = df.select(F.percentile_approx(first, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]))).first()[0] or []
     edges = sorted(set(bounds))
     place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b < F.col(first))) if edges else F.lit(0)
@@ -166,19 +265,17 @@ def shape(df: DataFrame, rules: list[tuple[str, str, str, str]], require: str =
 
 
 def replaced(text: Column, patterns: list[tuple[str, str]] = (), strings: dict[str, str] | None = None) -> Column:
-    """Patterns first, in order; then all strings in one pass, the longest match winning.
-
-    The pass marks each string's place with a private character, longest strings first, so that no
-    replacement is replaced again.
-    """
+    """Patterns first, in order; then all strings in one pass from the left, the longest match winning."""
     for pattern, replacement in patterns:
         text = F.regexp_replace(text, pattern, replacement)
-    ordered = sorted((strings or {}).items(), key=lambda p: (-len(p[0]), p[0]))
-    for i, (old, _) in enumerate(ordered):
-        text = F.replace(text, F.lit(old), F.lit(chr(0xE000 + i)))
-    for i, (_, new) in enumerate(ordered):
-        text = F.replace(text, F.lit(chr(0xE000 + i)), F.lit(new))
-    return text
+    strings = {old: new for old, new in (strings or {}).items() if old}
+    if not strings:
+        return text
+    either = "|".join(re.escape(old) for old in sorted(strings, key=len, reverse=True))
+    table = F.create_map(*[F.lit(x) for pair in strings.items() for x in pair])
+    found = F.transform(F.regexp_extract_all(text, F.lit(either), F.lit(0)), lambda old: table[old])
+    between = F.split(text, either, -1)
+    return F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.try_element_at(found, i + 1), F.lit("")))), "")
 
 
 def sanitised(text: Column, replacement: str = "?") -> Column:

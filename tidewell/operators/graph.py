@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +69,33 @@ def ascend(roots: DataFrame, edges: DataFrame, height: int = -1) -> DataFrame:
     return expand(roots, edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), height)
 
 
-def top_ancestor(roots: DataFrame, edges: DataFrame, height: int = 16) -> DataFrame:
-    """(root, top): climbs by the least parent of each level, until there is none or it repeats."""
+def top_ancestor(roots: DataFrame, edges: DataFrame, height: int = -1) -> DataFrame:
+    """(root, top): climbs by the least parent of each level, until there is none or it repeats; height -1 is without limit.
+
+    Each level is written, and only rows that still move go on.
+    """
     first = edges.groupBy("child").agg(F.min("parent").alias("up"))
+    if height < 0 or height > PLANNED_DEPTH:
+        first = checkpoint(first)
     at = roots.select(F.col("id").alias("root"), F.col("id").alias("top"), F.array("id").alias("_path"))
-    for _ in range(height):
-        at = at.join(first, F.col("top") == F.col("child"), "left")
+    done: list[DataFrame] = []
+    level = 0
+    while level != height:
+        level += 1
+        step = at.join(first, F.col("top") == F.col("child"), "left")
         move = F.col("up").isNotNull() & ~F.array_contains("_path", F.coalesce("up", "top"))
-        at = at.select("root", F.when(move, F.col("up")).otherwise(F.col("top")).alias("top"), F.when(move, F.array_append("_path", F.col("up"))).otherwise(F.col("_path")).alias("_path"))
-    return at.select("root", "top")
+        step = step.select("root", F.when(move, F.col("up")).otherwise(F.col("top")).alias("top"), F.when(move, F.array_append("_path", F.col("up"))).otherwise(F.col("_path")).alias("_path"), move.alias("_moved"))
+        if 0 <= height <= PLANNED_DEPTH:
+            at = step.drop("_moved")
+            continue
+        step = checkpoint(step)
+        done.append(step.where("NOT _moved").select("root", "top"))
+        at = step.where("_moved").drop("_moved")
+        if at.isEmpty():
+            break
+        if len(done) == 16:
+            done = [checkpoint(reduce(DataFrame.union, done))]
+    return reduce(DataFrame.union, [*done, at.select("root", "top")])
 
 
 def touched(changed: DataFrame, edges: DataFrame, ancestors: bool = True, descendants: bool = False, limit: int = -1) -> DataFrame:

@@ -10,6 +10,30 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import standard
 
 
+def placed(docs: DataFrame, key: str, tokens: dict[str, Column]) -> DataFrame:
+    """(field, term, doc, tf, positions) of fields whose tokens are given as columns."""
+    parts = [docs.select(F.lit(name).alias("field"), F.col(key).alias("doc"), F.posexplode(c).alias("pos", "term")) for name, c in tokens.items()]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def extract(docs: DataFrame, fields: list[str], analyzer=standard, min_df: int = 1, max_length: int = 10_000) -> DataFrame:
+    """(term, tf, df) straight from documents, one row each: over several fields df is the sum of the fields' counts.
+
+    Each row brings its tokens, and each different token once more as a document: one aggregation by term, whose
+    partial step leaves little more than the vocabulary, instead of one by term and document.
+    """
+
+    def brought(name: str) -> Column:
+        tokens = analyzer(F.col(name))
+        return F.concat(F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"))))
+
+    rows = reduce(DataFrame.unionByName, [docs.select(F.explode(brought(n)).alias("x")).select("x.*") for n in fields])
+    counted = rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum(1 - F.col("tf")).alias("df"))
+    fit = (F.col("term") != "") & (F.char_length("term") <= max_length) & ~F.col("term").contains(" ")
+    return counted.where(fit & (F.col("df") >= min_df))
+
+
 def postings(docs: DataFrame, key: str, fields: list[str], analyzer=standard, positions: bool = False) -> DataFrame:
     """(field, term, doc, tf) and, if asked for, the sorted positions of the term."""
     parts = []
@@ -52,13 +76,13 @@ def idf(df: Column, total: Column) -> Column:
     return 1 + F.log(total / (df + 1))
 
 
-def tf_idf(posts: DataFrame, terms: list[str], total: int | None = None) -> DataFrame:
+def tf_idf(posts: DataFrame, terms: list[str], total: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(doc, score) of documents with any of the terms: the sum of sqrt(tf) * idf^2 / sqrt(document length).
 
-    Only the query's terms are kept before anything is grouped by document, except for the lengths, which
-    are one number per document.
+    Only the query's terms are kept before anything is grouped by document, except for the lengths (doc, length), which
+    are one number per document; given as a table, postings of other terms aren't read.
     """
-    lengths = posts.groupBy("doc").agg(F.sum("tf").alias("length"))
+    lengths = posts.groupBy("doc").agg(F.sum("tf").alias("length")) if lengths is None else lengths
     count = F.lit(total) if total is not None else F.col("_n")
     hits = posts.where(F.col("term").isin(terms))
     dfs = hits.groupBy("term").agg(F.count_distinct("doc").alias("df"))

@@ -46,6 +46,21 @@ def get(records: DataFrame, wanted, key: str = "id", allow_private: bool = False
     return records.where(F.col(key) == F.lit(wanted)).limit(1)
 
 
+def get_tree(records: DataFrame, edges: DataFrame, wanted, key: str = "id", depth: int = -1, allow_private: bool = False) -> DataFrame:
+    """A record with all its descendants, and with all its ancestors, with their depth (ancestors have negative ones).
+
+    What a lookup without options gives.  A record reached by several ways has its least depth.
+    """
+    from tidewell.operators import graph
+
+    check_private([wanted], allow_private)
+    root = records.where(F.col(key) == F.lit(wanted)).limit(1).select(F.col(key).alias("id"))
+    below = graph.expand(root, edges, depth).select("node", "depth")
+    above = graph.ascend(root, edges, depth).where("depth > 0").select("node", -F.col("depth"))
+    found = below.union(above).groupBy("node").agg(F.min_by("depth", F.abs("depth")).alias("depth"))
+    return records.join(found, F.col(key) == F.col("node")).drop("node")
+
+
 def multi_get(records: DataFrame, ids: list, key: str = "id", allow_private: bool = False) -> DataFrame:
     """The records of a request's ids with their place in it (pos); ids that don't exist are left out.
 
@@ -103,23 +118,20 @@ def last_modified(records: DataFrame, base: str | None = None, time: str = "mtim
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, order: str, key: str = "id", try_update: bool = False, time: str | None = None) -> DataFrame:
-    """stored with incoming on top: of several incoming rows with one id the last by `order` wins.
+    """stored (of unique ids) with incoming on top: of several incoming rows with one id the last by `order` wins.
 
-    try_update: an incoming row that equals the stored one (but for `time`) leaves it untouched.
+    Stored rows whose id doesn't come in are only filtered.  try_update: an incoming row that equals the stored one, nulls
+    included, but for `order` and `time`, leaves it untouched.
     """
-    compared = [c for c in stored.columns if c not in (time, order)]
-    digest = F.xxhash64(*compared)
-    old = stored.withColumns({"_new": F.lit(0), "_same": digest})
-    new = incoming.select(*stored.columns).withColumns({"_new": F.lit(1), "_same": digest})
-    by_id = Window.partitionBy(key)
-    ranked = old.unionByName(new).withColumn("_rank", F.row_number().over(by_id.orderBy(F.desc("_new"), F.desc(order))))
+    names = stored.columns
+    last = incoming.groupBy(F.col(key).alias("_id")).agg(F.max_by(F.struct(*names), F.struct(order)).alias("_row"))
     if try_update:
-        # The winner equals the stored row if that has the same digest: then the stored one stays.
-        stored_digest = F.max(F.when(F.col("_new") == 0, F.col("_same"))).over(by_id)
-        winner = F.max(F.when(F.col("_rank") == 1, F.col("_same"))).over(by_id)
-        keep = F.when(stored_digest == winner, F.col("_new") == 0).otherwise(F.col("_rank") == 1)
-        return ranked.withColumn("_keep", keep).where("_keep").drop("_new", "_same", "_rank", "_keep")
-    return ranked.where("_rank = 1").drop("_new", "_same", "_rank")
+        old = stored.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.struct(*names).alias("_old"))
+        last = last.join(old, "_id", "left")
+        same = reduce(Column.__and__, [F.col("_row")[c].eqNullSafe(F.col("_old")[c]) for c in names if c not in (time, order)])
+        last = last.withColumn("_row", F.when(F.col("_old").isNotNull() & same, F.col("_old")).otherwise(F.col("_row")))
+    changed = last.select("_row.*")
+    return stored.join(changed.select(F.col(key).alias("_id")), F.col(key) == F.col("_id"), "left_anti").unionByName(changed)
 
 
 def stamp(rows: DataFrame, now_ms: int, order: str, time: str = "mtime", range_size: int = 1 << 20) -> DataFrame:
@@ -146,9 +158,10 @@ def clear_base(records: DataFrame, base: str, now: Column | None = None) -> Data
 
 def dump_difference(stored: DataFrame, dump: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """key and action (insert, update, delete, keep) that turn the stored rows into a full dump."""
-    a = stored.select(F.col(key).alias("_a"), F.xxhash64(content).alias("_ha"))
-    b = dump.select(F.col(key).alias("_b"), F.xxhash64(content).alias("_hb"))
-    action = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), "delete").when(F.col("_ha") != F.col("_hb"), "update").otherwise("keep")
+    digest = F.sha2(F.col(content).cast("binary"), 256)
+    a = stored.select(F.col(key).alias("_a"), digest.alias("_ha"))
+    b = dump.select(F.col(key).alias("_b"), digest.alias("_hb"))
+    action = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), "delete").when(~F.col("_ha").eqNullSafe(F.col("_hb")), "update").otherwise("keep")
     return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), action.alias("action"))
 
 
@@ -186,6 +199,27 @@ def route(records: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return records.withColumn("storage", chosen)
 
 
+class SearchStorage:
+    """Records of an index by id: reads only, in lookups of at most `batch` ids."""
+
+    def __init__(self, searcher, batch: int = 50):
+        self.searcher, self.batch = searcher, batch
+
+    def get(self, wanted) -> DataFrame:
+        return self.multi_get([wanted])
+
+    def multi_get(self, ids: list) -> DataFrame:
+        """The known ones of the ids, whose number the caller fixes."""
+        check_private(ids, False)
+        parts = [self.searcher.by_ids(ids[i : i + self.batch]) for i in range(0, len(ids), self.batch)]
+        return reduce(DataFrame.unionByName, parts or [self.searcher.docs.limit(0)])
+
+    def _unsupported(self, *_args, **_kwargs):
+        raise NotImplementedError("an index gives records by id only")
+
+    flush = clear = modified_since = statistics = _unsupported
+
+
 def run_batch(records: DataFrame, job, base: str | None = None, after: int | None = None, before: int | None = None, schema=None) -> DataFrame:
     """A job over a part of the storage: a function of a DataFrame, or of pandas batches if a schema is given.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import standard
+from tidewell.functions.text import keyword
 
-MOST, DEFAULT = 1000, 10
+DEFAULT = 10
 
 
 def normalise(query: Column | str) -> Column:
-    return F.array_join(standard(query), " ")
+    """One keyword: underscores are blanks."""
+    return keyword(query)[0]
 
 
 def suggest(store: DataFrame, prefix: str, limit: int = DEFAULT, least: int = 1) -> DataFrame:
@@ -19,7 +20,7 @@ def suggest(store: DataFrame, prefix: str, limit: int = DEFAULT, least: int = 1)
     if len(prefix) < least:
         return store.limit(0)
     start = store.sparkSession.range(1).select(normalise(F.lit(prefix)).alias("p")).first()["p"]
-    return store.where(F.col("normalized").startswith(start)).orderBy(F.desc("count"), "query").limit(min(limit, MOST))
+    return store.where(F.col("normalized").startswith(start)).orderBy(F.desc("count"), "query").limit(limit)
 
 
 def fold(updates: DataFrame, order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import ANALYZERS
 from tidewell.operators import browse, facets, postings
 from tidewell.plans import rewrite
-from tidewell.plans.ast import Boolean, Clause, MatchAll, Node
+from tidewell.plans.ast import Boolean, Clause, Fuzzy, MatchAll, Node, Phrase, Term
 from tidewell.plans.compile import Compiler
 from tidewell.plans.parser import parse
 from tidewell.schema import Descriptor, Field
@@ -50,7 +50,7 @@ class Searcher:
     def _analyzer(self, name: str):
         return ANALYZERS[self.fields.get(name, "default")]
 
-    def _tokens(self, name: str) -> Column:
+    def tokens(self, name: str) -> Column:
         if name not in self.docs.columns:
             return F.array().cast("array<string>")
         if dict(self.docs.dtypes)[name].startswith("array"):
@@ -58,17 +58,25 @@ class Searcher:
         return self._analyzer(name)(F.col(name).cast("string"))
 
     def _analyze(self, name: str, text: str) -> list[str]:
-        """A query's words, by the same expression as the field's (evaluated on one row of constants)."""
+        """A query's words, by the same expression as the field's."""
         if (name, text) not in self._analysed:
-            row = self.docs.sparkSession.range(1).select(self._analyzer(name)(F.lit(text)).alias("x"))
-            self._analysed[name, text] = list(row.first()["x"])
+            self._analyze_all([(name, text)])
         return self._analysed[name, text]
 
+    def _analyze_all(self, pairs: list[tuple[str, str]]) -> None:
+        """All words of a query that aren't known yet, in one job."""
+        kinds = {(self.fields.get(name, "default"), text) for name, text in pairs if (name, text) not in self._analysed}
+        if kinds:
+            rows = self.docs.sparkSession.createDataFrame(sorted(kinds), "kind string, text string")
+            by_kind = [F.when(F.col("kind") == k, ANALYZERS[k](F.col("text"))) for k in sorted({k for k, _ in kinds})]
+            found = {(r["kind"], r["text"]): list(r["x"]) for r in rows.select("kind", "text", F.coalesce(*by_kind).alias("x")).collect()}
+            self._analysed |= {(name, text): found[kind, text] for name, text in pairs if (kind := self.fields.get(name, "default"), text) in found}
+
     def _name(self, name: str) -> str:
         return f"_tokens_{name}"
 
-    def _names(self, nodes: list[Node], compiler: Compiler) -> list[str]:
-        found: list[str] = []
+    def _leaves(self, nodes: list[Node]) -> list[Node]:
+        found: list[Node] = []
 
         def walk(n: Node) -> None:
             if isinstance(n, Boolean):
@@ -78,23 +86,28 @@ class Searcher:
                 for p in n.parts:
                     walk(p)
             elif getattr(n, "field", None):
-                found.append(n.field)
+                found.append(n)
 
         for n in nodes:
             walk(n)
-        return list(dict.fromkeys(found))
+        return found
+
+    def _names(self, nodes: list[Node]) -> list[str]:
+        return list(dict.fromkeys(n.field for n in self._leaves(nodes)))
 
     def plan(self, query: str | None, filters: list[str] = ()) -> tuple[Node, list[Node], Compiler]:
         compiler = Compiler(lambda name: F.col(self._name(name)), self._analyze)
-        return parse(query, self.descriptor), [parse(f, self.descriptor) for f in filters], compiler
+        node, others = parse(query, self.descriptor), [parse(f, self.descriptor) for f in filters]
+        self._analyze_all([(n.field, n.text) for n in self._leaves([node, *others]) if isinstance(n, Term | Phrase | Fuzzy)])
+        return node, others, compiler
 
     def _with_tokens(self, names: list[str]) -> DataFrame:
-        return self.docs.withColumns({self._name(n): self._tokens(n) for n in names}) if names else self.docs
+        return self.docs.withColumns({self._name(n): self.tokens(n) for n in names}) if names else self.docs
 
     def matches(self, query: str | None, filters: list[str] = ()) -> DataFrame:
         """The rows that match, unscored."""
         node, others, compiler = self.plan(query, filters)
-        names = self._names([node, *others], compiler)
+        names = self._names([node, *others])
         rows = self._with_tokens(names)
         for n in (node, *others):
             if not isinstance(n, MatchAll):
@@ -110,7 +123,7 @@ class Searcher:
         One aggregation over the documents counts, for all leaves together, how many documents match.
         """
         node, others, compiler = self.plan(query, filters)
-        names = self._names([node, *others], compiler)
+        names = self._names([node, *others])
         rows = self._with_tokens(names)
         leaves = [n for n in dict.fromkeys(compiler.leaves(node)) if getattr(n, "field", None)]
         counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(compiler.matches(n), 1)).alias(f"d{i}") for i, n in enumerate(leaves)]).first()
@@ -127,12 +140,24 @@ class Searcher:
                 rows = rows.where(compiler.matches(n))
         return rows.withColumn("score", compiler.score(node, weight).cast("double")).drop(*map(self._name, names))
 
+    def by_ids(self, ids: list, rows: DataFrame | None = None) -> DataFrame:
+        """The documents of a request's ids, however many: a semi-join with them."""
+        kind = self.docs.schema[self.key].dataType.simpleString()
+        asked = self.docs.sparkSession.createDataFrame([(str(i),) for i in dict.fromkeys(ids)], "_id string").select(F.col("_id").try_cast(kind).alias(self.key))
+        return (self.docs if rows is None else rows).join(F.broadcast(asked), self.key, "left_semi")
+
     def search(self, request: Request) -> DataFrame:
-        """One page of rows: the wanted fields (with fallbacks for empty ones), the score and the key."""
-        query = rewrite.ids_query(request.ids, self.key) if request.ids else request.query
+        """One page of rows: the wanted fields (with fallbacks for empty ones), the score and the key.
+
+        A request with ids asks for these documents (that pass the filters); each scores 1.
+        """
+        query = request.query
         if request.sanitize and query:
             query = rewrite.sanitize(query)
-        hits = self.scored(query, request.filters)
+        if request.ids:
+            hits = self.by_ids(request.ids, self.matches(None, request.filters)).withColumn("score", F.lit(1.0))
+        else:
+            hits = self.scored(query, request.filters)
         if request.group:
             return browse.group_results(hits, request.group, request.group_limit, request.rows, key=self.key)
         order = [F.desc("score"), F.asc(self.key)] if request.sort in (None, "score") else browse.sort_order(request.sort, request.reverse, key=self.key)
@@ -141,13 +166,14 @@ class Searcher:
         shown = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(request.fallbacks[c])).alias(c) if c in request.fallbacks else F.col(c) for c in wanted]
         return chosen.select(self.key, *shown, "score")
 
-    def facet(self, request: Request) -> dict[str, DataFrame]:
-        """Facets over all hits of a request."""
+    def facet(self, request: Request, whole: bool = False) -> dict[str, DataFrame]:
+        """Facets over all hits of a request; whole: all terms of each, so that counts of several sources can be summed."""
         hits = self.matches(request.query, request.filters)
         answers = {}
         for wanted in facets.parse_request(request.facets or ""):
             terms = facets.doc_terms(hits, self.key, [wanted.name])
-            answers[wanted.name] = facets.answer(facets.term_counts(terms), wanted)
+            counts = facets.term_counts(terms)
+            answers[wanted.name] = counts if whole else facets.answer(counts, wanted)
         return answers
 
     def lookup(self, name: str, term: str, query: str | None = None, **options) -> DataFrame:

@@ -42,10 +42,18 @@ def ship(spark: SparkSession) -> None:
     context._tidewell_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, which cuts its lineage.  A folder is set only where none is."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share.  One of this machine does only for a local master."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -9,15 +9,16 @@ import fnmatch
 import gzip
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "origin string, name string, content binary"
-#: Archives in archives deeper than this are left packed.
-DEPTH = 8
+ENTRY = "origin string, name string, content binary, error string"
+# How archives begin.
+ZIP_START, GZIP_START = b"PK\x03\x04", b"\x1f\x8b"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", newest_last: bool = True) -> DataFrame:
@@ -35,39 +36,49 @@ def watch_files(spark: SparkSession, path: str, pattern: str = "*", archive: str
     return reader.load(path)
 
 
-def unpacked(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
-    """Plain files within a (nested) archive, chosen by extension; other files as they are.  Broken archives give nothing."""
+def unpacked(name: str, data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(name, content, error) of the plain files within an archive, however deep; other files as they are.
+
+    Archives are told by extension, and those of files without one by how they begin.  A broken one gives a row with
+    an error and without content.
+    """
     low = name.lower()
+    bare = "." not in low.rpartition("/")[2]
     try:
-        if low.endswith(".zip") and depth < DEPTH:
+        if low.endswith(".zip") or (bare and data.startswith(ZIP_START)):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for entry in sorted(z.infolist(), key=lambda e: e.filename):
                     if not entry.is_dir():
-                        yield from unpacked(f"{name}!/{entry.filename}", z.read(entry), depth + 1)
-        elif low.endswith(".gz") and depth < DEPTH:
-            yield from unpacked(name[:-3], gzip.decompress(data), depth + 1)
+                        yield from unpacked(f"{name}!/{entry.filename}", z.read(entry))
+        elif low.endswith(".gz") or (bare and data.startswith(GZIP_START)):
+            yield from unpacked(name[:-3] if low.endswith(".gz") else f"{name}!/", gzip.decompress(data))
         else:
-            yield name, data
-    except (zipfile.BadZipFile, OSError, EOFError):
-        return
+            yield name, data, None
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, OSError, EOFError) as problem:
+        yield name, None, f"{type(problem).__name__}: {problem}"
 
 
 def read_archives(files: DataFrame, pattern: str = "*") -> DataFrame:
-    """(origin, name, content) of all plain files in files and archives whose inner names match."""
+    """(origin, name, content, error) of all plain files in files and archives whose inner names match, and of all
+    archives that can't be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(path, name, data) for name, data in unpacked(path, bytes(content)) if fnmatch.fnmatch(name.rpartition("/")[2], pattern)]
-                yield pd.DataFrame(rows, columns=["origin", "name", "content"])
+                for name, data, error in unpacked(path, bytes(content)):
+                    if error or fnmatch.fnmatch(name.rpartition("/")[2], pattern):
+                        yield pd.DataFrame([(path, name, data, error)], columns=["origin", "name", "content", "error"])
 
     return files.select("path", "content").mapInPandas(run, ENTRY)
 
 
-def pulled(spark: SparkSession, listing: DataFrame, text: str = "content") -> list[str]:
-    """Locations named in a listing, one to a line; a listing is configuration and small."""
+def pulled(listing: DataFrame, text: str = "content", most: int = 100_000) -> list[str]:
+    """Locations named in a listing, one to a line; a listing is configuration, and one of over `most` lines is an error."""
     rows = listing.select(F.explode(F.split(F.col(text).cast("string"), r"\R")).alias("line")).where(F.trim("line") != "")
-    return [r["line"].strip() for r in rows.limit(100_000).collect()]
+    lines = [r["line"].strip() for r in rows.limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"the listing has more than {most} lines")
+    return lines
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataFrame:

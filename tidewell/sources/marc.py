@@ -100,6 +100,66 @@ def read_lines(texts: DataFrame, text: str = "value", record_end: str = r"\n\s*\
     return records.select(parse("r").alias("fields"))
 
 
+def read_aleph(texts: DataFrame, text: str = "value") -> DataFrame:
+    """(number, fields) of the records in sequential dumps: `000000001 24500 L $$aTitle$$cName`, one field to a line.
+
+    A record's lines are those of its number, in their order within a text.
+    """
+    line = r"^(\d{9}) (\w{3})(.)(.) (\S) (.*)$"
+    lines = texts.select(F.posexplode(F.split(F.col(text).cast("string"), r"\r?\n")).alias("at", "line")).where(F.col("line").rlike(line))
+
+    def group(i: int) -> Column:
+        return F.regexp_extract("line", line, i)
+
+    tagged = F.transform(F.filter(F.split(group(6), r"\$\$"), lambda s: s != ""), lambda s: F.struct(F.substring(s, 1, 1).alias("code"), F.substr(s, F.lit(2)).alias("value")))
+    # Control fields have no marks: their text is one subfield without a code.
+    plain = F.array(F.struct(F.lit("").alias("code"), group(6).alias("value")))
+    fields = F.struct(group(2).alias("tag"), group(3).alias("ind1"), group(4).alias("ind2"), F.when(F.instr(group(6), "$$") > 0, tagged).otherwise(plain).alias("subfields"))
+    rows = lines.select(group(1).alias("number"), F.struct("at", fields.alias("field")).alias("x"))
+    return rows.groupBy("number").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["field"]).alias("fields"))
+
+
+def without(fields: Column | str, *tags: str) -> Column:
+    """The record without the fields of some tags."""
+    return F.filter(F.col(fields) if isinstance(fields, str) else fields, lambda f: ~f["tag"].isin(*tags))
+
+
+def added(fields: Column | str, tag: str, subfields_: dict[str, Column], ind1: str = " ", ind2: str = " ") -> Column:
+    """The record with one more field, placed by its tag after those of the same."""
+    given = F.col(fields) if isinstance(fields, str) else fields
+    parts = F.array(*[F.struct(F.lit(c).alias("code"), v.cast("string").alias("value")) for c, v in subfields_.items()])
+    new = F.struct(F.lit(tag).alias("tag"), F.lit(ind1).alias("ind1"), F.lit(ind2).alias("ind2"), parts.alias("subfields"))
+    return F.concat(F.filter(given, lambda f: f["tag"] <= tag), F.array(new), F.filter(given, lambda f: f["tag"] > tag))
+
+
+def changed(fields: Column | str, tag: str, code: str, change) -> Column:
+    """The record with a subfield's values changed by a function of columns."""
+    given = F.col(fields) if isinstance(fields, str) else fields
+
+    def part(s: Column) -> Column:
+        return F.struct(s["code"].alias("code"), F.when(s["code"] == code, change(s["value"])).otherwise(s["value"]).alias("value"))
+
+    return F.transform(given, lambda f: F.struct(f["tag"].alias("tag"), f["ind1"].alias("ind1"), f["ind2"].alias("ind2"), F.when(f["tag"] == tag, F.transform(f["subfields"], part)).otherwise(f["subfields"]).alias("subfields")))
+
+
+def as_xml(fields: Column | str) -> Column:
+    """A record as XML text, in expressions alone; see to_xml."""
+
+    def safe(c: Column, quoted: bool = False) -> Column:
+        for old, new in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quoted else [])]:
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
+
+    def field(f: Column) -> Column:
+        subs = F.array_join(F.transform(f["subfields"], lambda s: F.concat(F.lit('<subfield code="'), safe(s["code"], True), F.lit('">'), safe(s["value"]), F.lit("</subfield>"))), "")
+        data = F.concat(F.lit('<datafield tag="'), f["tag"], F.lit('" ind1="'), safe(f["ind1"], True), F.lit('" ind2="'), safe(f["ind2"], True), F.lit('">'), subs, F.lit("</datafield>"))
+        control = F.concat(F.lit('<controlfield tag="'), f["tag"], F.lit('">'), safe(f["subfields"][0]["value"]), F.lit("</controlfield>"))
+        return F.when((f["tag"] < "010") & (F.size(f["subfields"]) > 0) & (F.try_element_at(f["subfields"], F.lit(1))["code"] == ""), control).otherwise(data)
+
+    given = F.col(fields) if isinstance(fields, str) else fields
+    return F.concat(F.lit("<record>"), F.array_join(F.transform(given, field), ""), F.lit("</record>"))
+
+
 def subfields(fields: Column | str, tag: str, code: str) -> Column:
     """All values of a subfield, in order."""
     chosen = F.filter(F.col(fields) if isinstance(fields, str) else fields, lambda f: f["tag"] == tag)
