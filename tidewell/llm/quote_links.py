@@ -6,17 +6,20 @@ spaces) and hashed.  A quoted passage is hashed whole, by paragraph, and by grou
 consecutive lines or sentences; each piece is joined, within its conversation, to the latest earlier message
 that has it as its own text: the whole, a run, or any consecutive lines or sentences of it.  The longest piece
 with an original links the quote, so one trimmed or edited in part links by what is left.  A message's parent is the author of its
-outermost quote that can be linked.  Following parents gives the thread's root and the reply depth;
-ordering by (root_turn, turn) puts every reply after what it answers.  Texts come out without quotes.
-
-Messages of conversations with quotes hash their groups of the lengths that pieces there have, not all groups.
-Only originals whose hash some quote has take part in the join.  For each (conversation, hash) the earlier
-message is found by one ordered window over distinct turns, so repeated texts make no pairs.  Threads are
+outermost quote that can be linked.  Following parents gives the thread's root and the reply depth.
+Ordering a conversation by `reply_order` (root_turn, then turn, as digits) puts every reply after what it answers;
+`write_conversations` writes it so.  Texts come out without quotes.
+
+Messages are parsed once and written.  Those of conversations with quotes hash their groups of the lengths that
+pieces there have, not all groups.  Only originals whose hash some quote has take part in the join.  For each
+(conversation, hash) the earlier message is found by ordered windows over stretches of SPAN turns and over the
+stretches, so repeated texts make no pairs and a hot hash is split.  Threads are
 resolved by pointer doubling over the linked messages alone.
 
 Edge cases: a null text counts as empty; a null conversation or turn links to nothing; messages of equal
 conversation and turn (repeated rows) get the same links; passages without letters or digits have no hash;
-part of a sentence that is no line of its original links to nothing;
+part of a sentence that is no line of its original links to nothing; very long texts are parsed whole, and result
+columns replace columns of the same name;
 a message without a link is its own root at depth 0; an empty table gives an empty result.
 """
 
@@ -28,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_text, table
+from .common import checkpoint, join_hot, map_text, table
 
-#: Conversations with quotes whose lengths may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 50_000
+#: Turns of a stretch in which one task looks for originals of one hash.
+SPAN = 4096
 _MARKS = regex.compile(r"^(?:[ \t]{0,3}>)+[ \t]?")
 _INTRO = regex.compile(r"^(?:On\b.{0,200}\bwrote|.{1,80}\bwrote):\s*$")
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
@@ -49,6 +52,8 @@ def passages(text: str) -> list[tuple[int, str]]:
 
     An introduction such as `Ann wrote:` right before a quote belongs to the quote and is left out.
     """
+    if ">" not in text:
+        return [(0, text)] if text.strip() else []
     runs: list[tuple[int, list[str]]] = []
     for line in text.split("\n"):
         level, body = level_of(line)
@@ -95,108 +100,112 @@ def pieces_of(passage: str) -> dict[str, set[int]]:
     return out
 
 
-def own_hashes(text: str, sizes: list[int]) -> set[int]:
+def own_hashes(body: str, runs: list[str], sizes: list[int]) -> set[int]:
     """Hashes of the author's own text, its runs and paragraphs, and all groups of `sizes` lines or sentences."""
-    own = [p for level, p in passages(text) if level == 0]
-    body = "\n".join(own).strip()
-    plain = {normal(p) for p in [body, *own, *paragraphs(body)]}
+    plain = {normal(p) for p in [body, *runs, *paragraphs(body)]}
     for kind in units(body):
         plain.update(" ".join(kind[i : i + size]) for size in sizes for i in range(len(kind) - size + 1))
     return {normal_hash(p) for p in plain if p}
 
 
-def parsed(messages: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds body (the text without quotes), n_levels, and n_quoted."""
+def quotes_of(found: list[tuple[int, str]]) -> list[dict]:
+    """The pieces h of each quote q of a message, with the numbers of units that they may have in an original."""
+    rows: dict[tuple, dict] = {}
+    for level, p in found:
+        if level and (plain := normal(p)):
+            q = normal_hash(plain)
+            for piece, sizes in pieces_of(p).items():
+                h = normal_hash(piece)
+                known = rows.setdefault((level, q, h), {"level": level, "q": q, "h": h, "chars": len(piece), "sizes": []})
+                known["sizes"] = sorted(sizes.union(known["sizes"]))
+    return list(rows.values())
 
-    def make():
-        def fn(texts: list) -> list:
-            found = [passages(t or "") for t in texts]
-            return [
-                ["\n".join(p for level, p in x if level == 0).strip() for x in found],
-                [max((level for level, _ in x), default=0) for x in found],
-                [sum(level > 0 for level, _ in x) for x in found],
-            ]
-
-        return fn
 
-    return map_text(messages, text, "body string, n_levels bigint, n_quoted bigint", make, keep)
+PARSED = "body string, n_levels bigint, n_quoted bigint, __runs array<string>, __quotes array<struct<level: bigint, q: bigint, h: bigint, chars: bigint, sizes: array<bigint>>>"
 
 
-def quoted(messages: DataFrame, text: str) -> DataFrame:
-    """(c, t, level, q, h, chars, sizes): the pieces h of each quote q."""
+def parsed(messages: DataFrame, conversation: str, turn: str, text: str, keep: list[str]) -> DataFrame:
+    """The kept columns, __c and __t (conversation and turn), body (the text without quotes), n_levels, n_quoted, the
+    author's own runs of lines where there are several, and the quotes' pieces."""
 
     def make():
         def fn(texts: list) -> list:
-            out = []
+            out: list[list] = [[], [], [], [], []]
             for t in texts:
-                rows = {}
-                for level, p in passages(t or ""):
-                    if level and (plain := normal(p)):
-                        q = normal_hash(plain)
-                        for piece, sizes in pieces_of(p).items():
-                            h = normal_hash(piece)
-                            known = rows.setdefault((level, q, h), {"level": level, "q": q, "h": h, "chars": len(piece), "sizes": []})
-                            known["sizes"] = sorted(sizes.union(known["sizes"]))
-                out.append(list(rows.values()))
-            return [out]
+                found = passages(t or "")
+                own = [p for level, p in found if level == 0]
+                row = ("\n".join(own).strip(), max((level for level, _ in found), default=0), len(found) - len(own), own if len(own) > 1 else [], quotes_of(found))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            return out
 
         return fn
 
-    found = map_text(messages, text, "quotes array<struct<level: bigint, q: bigint, h: bigint, chars: bigint, sizes: array<bigint>>>", make, ["c", "t"])
-    return found.select("c", "t", F.explode("quotes").alias("x")).select("c", "t", "x.*")
+    body = F.col(f"`{text}`").cast("string").alias("__text")
+    source = messages.select(*[f"`{c}`" for c in keep], F.col(f"`{conversation}`").alias("__c"), F.col(f"`{turn}`").alias("__t"), body)
+    return checkpoint(map_text(source, "__text", PARSED, make, [*keep, "__c", "__t"]))
 
 
-def originals(messages: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
-    """(c, t, h): own hashes of the messages of conversations with quotes; sizes: (c, sizes)."""
+def originals(known: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(__c, __t, h): own hashes of the messages of conversations with quotes; sizes: (__c, sizes)."""
 
     def make():
-        return lambda texts, wanted: [[sorted(own_hashes(t or "", w)) for t, w in zip(texts, wanted, strict=True)]]
-
-    return map_text(messages.join(sizes, "c"), text, "own array<bigint>", make, ["c", "t"], ["sizes"]).select("c", "t", F.explode("own").alias("h"))
-
-
-def links(messages: DataFrame, conversation: str, turn: str, text: str) -> DataFrame:
-    """(c, t, level, parent): for each quote, the latest earlier message with its longest piece that has one."""
-    known = messages.where(F.col(conversation).isNotNull() & F.col(turn).isNotNull()).select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.col(text).alias("_text"))
-    pieces = checkpoint(quoted(known, "_text"))
-    sizes = checkpoint(pieces.select("c", F.explode("sizes").alias("size")).groupBy("c").agg(F.collect_set("size").alias("sizes")))
-    if sizes.count() <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    quotes = pieces.drop("sizes").distinct()
-    own = originals(known, sizes, "_text").join(quotes.select("c", "h").distinct(), ["c", "h"], "left_semi").distinct()
-    both = quotes.unionByName(own.withColumn("level", F.lit(0).cast("bigint")), allowMissingColumns=True)
-    earlier = Window.partitionBy("c", "h").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    linked = both.withColumn("parent", F.max(F.when(F.col("level") == 0, F.col("t"))).over(earlier))
-    found = linked.where((F.col("level") > 0) & F.col("parent").isNotNull())
-    longest = found.groupBy("c", "t", "level", "q").agg(F.max(F.struct("chars", "parent")).alias("x"))
-    return longest.select("c", "t", "level", F.col("x.parent").alias("parent"))
+        return lambda texts, runs, wanted: [[sorted(own_hashes(t or "", r, w)) for t, r, w in zip(texts, runs, wanted, strict=True)]]
+
+    rows = join_hot(known.select("__c", "__t", "body", "__runs"), sizes, ["__c"])
+    return map_text(rows, "body", "own array<bigint>", make, ["__c", "__t"], ["__runs", "sizes"]).select("__c", "__t", F.explode("own").alias("h"))
+
+
+def links(messages: DataFrame) -> DataFrame:
+    """(__c, __t, level, parent): for each quote of parsed messages, the latest earlier one with its longest piece that has one."""
+    known = messages.where(F.col("__c").isNotNull() & F.col("__t").isNotNull())
+    pieces = known.select("__c", "__t", F.explode("__quotes").alias("x")).select("__c", "__t", "x.*")
+    sizes = checkpoint(pieces.select("__c", F.explode("sizes").alias("size")).groupBy("__c").agg(F.collect_set("size").alias("sizes")))
+    quotes = checkpoint(pieces.drop("sizes").distinct())
+    own = originals(known, sizes).join(quotes.select("__c", "h").distinct(), ["__c", "h"], "left_semi").distinct()
+    stretch = F.floor(F.col("__t") / SPAN)
+    both = checkpoint(quotes.unionByName(own.withColumn("level", F.lit(0).cast("bigint")), allowMissingColumns=True).withColumn("at", stretch))
+    before = Window.partitionBy("__c", "h").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = both.groupBy("__c", "h", "at").agg(F.max(F.when(F.col("level") == 0, F.col("__t"))).alias("last")).withColumn("last", F.max("last").over(before))
+    earlier = Window.partitionBy("__c", "h", "at").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+    linked = both.withColumn("near", F.max(F.when(F.col("level") == 0, F.col("__t"))).over(earlier)).join(stretches, ["__c", "h", "at"])
+    found = linked.withColumn("parent", F.coalesce("near", "last")).where((F.col("level") > 0) & F.col("parent").isNotNull())
+    longest = found.groupBy("__c", "__t", "level", "q").agg(F.max(F.struct("chars", "parent")).alias("x"))
+    return longest.select("__c", "__t", "level", F.col("x.parent").alias("parent"))
 
 
 def threads(found: DataFrame) -> DataFrame:
-    """(c, t, parent, root, depth) for messages that have a parent, by pointer doubling."""
-    parents = found.groupBy("c", "t").agg(F.min_by("parent", F.struct("level", -F.col("parent"))).alias("parent"))
-    state = checkpoint(parents.select("c", "t", "parent", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    """(__c, __t, parent, root, depth) for messages that have a parent, by pointer doubling."""
+    parents = found.groupBy("__c", "__t").agg(F.min_by("parent", F.struct("level", -F.col("parent"))).alias("parent"))
+    state = checkpoint(parents.select("__c", "__t", "parent", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
     while True:
-        up = state.select("c", F.col("t").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        moved = state.join(up, ["c", "root"], "left")
+        up = state.select("__c", F.col("__t").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+        moved = join_hot(state, up, ["__c", "root"], "left")
         if moved.where(F.col("_root").isNotNull()).isEmpty():
             return state
-        state = checkpoint(moved.select("c", "t", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        state = checkpoint(moved.select("__c", "__t", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
 
 
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with body, n_levels, n_quoted, n_linked, parent_turn, root_turn and depth."""
-    carried = messages.columns if keep is None else keep
-    pieces = parsed(messages, text, list(dict.fromkeys([*carried, conversation, turn])))
-    found = checkpoint(links(messages, conversation, turn, text))
-    resolved = threads(found).join(found.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_linked")), ["c", "t"])
-    resolved = resolved.select("c", "t", F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth", "n_linked")
-    extra = {"parent_turn", "root_turn", "depth", "n_linked"}
-    joined = pieces.drop(*extra).join(resolved, (F.col(conversation) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
-    zero = F.lit(0).cast("bigint")
-    return joined.withColumns({"root_turn": F.coalesce("root_turn", turn), "depth": F.coalesce("depth", zero), "n_linked": F.coalesce("n_linked", zero)}).drop("c", "t")
+    """The kept columns with body, n_levels, n_quoted, n_linked, parent_turn, root_turn, depth and reply_order."""
+    made = {"body", "n_levels", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth", "reply_order"}
+    carried = [c for c in (messages.columns if keep is None else keep) if c not in made]
+    pieces = parsed(messages, conversation, turn, text, carried)
+    found = checkpoint(links(pieces))
+    resolved = threads(found).join(found.groupBy("__c", "__t").agg(F.count(F.lit(1)).alias("n_linked")), ["__c", "__t"])
+    resolved = checkpoint(resolved.select("__c", "__t", F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth", "n_linked"))
+    joined = join_hot(pieces.drop("__runs", "__quotes"), resolved, ["__c", "__t"], "left")
+    zero, root = F.lit(0).cast("bigint"), F.coalesce("root_turn", "__t")
+    order = F.format_string("%019d.%019d", root.cast("bigint"), F.col("__t").cast("bigint"))
+    added = {"root_turn": root, "depth": F.coalesce("depth", zero), "n_linked": F.coalesce("n_linked", zero), "reply_order": F.when(F.col("__t").isNotNull(), order)}
+    return joined.withColumns(added).drop("__c", "__t")
+
+
+def write_conversations(linked: DataFrame, path: str, conversation: str = "conv_id") -> None:
+    """Conversations one after another, each in reply order; a long one may go over several files."""
+    linked.repartitionByRange(conversation, "reply_order").sortWithinPartitions(conversation, "reply_order").write.parquet(path)
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_quotes(table(spark, sf_dir, "conversations"), keep=["conv_id", "turn", "role"])
-    return linked.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "n_levels", "n_quoted", "n_linked", "body")
+    return linked.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "n_levels", "n_quoted", "n_linked", "reply_order", "body")
