@@ -8,13 +8,13 @@ the windows' means, weighted by how many bytes of the window the text fills.
 A filter of width w over one-hot bytes is a sum of w table rows, so the forward pass looks up tables of
 bytes and of byte pairs instead of multiplying.
 
-Training uses at most `PER_LANGUAGE` rows of each language, those with the least hash of id and length, of
-each a stretch of `STRETCH` characters, and of the `LANGUAGES` most frequent languages; the bounds are
-parameters.
+Training uses at most `PER_LANGUAGE` rows of each language, those with the least hash of id and length, and of
+each a stretch of `STRETCH` characters.  Where languages are so many that this makes over `MOST_ROWS` rows, each has an
+equal share of these, one row at least.  The bounds are parameters.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; rows with null language or
 text aren't learned from; without rows to learn from everything is `und`; ties go to the first language
-in sorted order; repeated rows each get their result; an empty table gives an empty result; result
+in sorted order; very long texts are covered whole; repeated rows each get their result; an empty table gives an empty result; result
 columns replace columns of the same name.
 """
 
@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share, id_crc, map_text, table
+from .common import checkpoint, hash_share, id_crc, join_hot, map_text, table
 
 WINDOW, FILTERS, WIDTHS = 128, 8, (2, 3, 4)
 PER_LANGUAGE, STRETCH, STEPS, BATCH = 1200, 420, 500, 192
-#: Most languages that are learned.
-LANGUAGES = 200
+#: Most rows that are learned from.
+MOST_ROWS = 120_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -132,20 +132,22 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) ->
     return Network(languages, net[: len(WIDTHS)], *net[len(WIDTHS) :])
 
 
-def training_sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE, stretch: int = STRETCH, most: int = LANGUAGES) -> list[tuple[str, str]]:
-    """At most per_language (language, stretch of text) pairs of each of the `most` frequent languages, chosen by hash."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (id_crc(key) % 4 != 2))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
-    if not counts:
+def training_sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE, stretch: int = STRETCH, most: int = MOST_ROWS) -> list[tuple[str, str]]:
+    """(language, stretch of text) pairs chosen by hash: at most per_language of each language, and about `most` in all."""
+    body = F.col(f"`{text}`").cast("string")
+    order = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.char_length(body)), F.lit(1 << 31))
+    usable = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), body.alias("body"), order.alias("o"), (id_crc(f"`{key}`") % 4 == 2).alias("held"))
+    usable = usable.where(F.col("lang").isNotNull() & F.col("body").isNotNull() & ~F.col("held"))
+    counts = checkpoint(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))
+    languages = counts.count()
+    if not languages:
         return []
-    totals = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-    order = F.pmod(F.xxhash64(F.col(key), F.char_length(text)), F.lit(1 << 31))
-    usable = usable.where(hash_share(order, per_language, totals[F.col(lang).cast("string")]))
-    begin = F.pmod(order, F.greatest(F.char_length(text) - stretch + 1, F.lit(1))).cast("int") + 1
-    rows = usable.select(F.col(lang).cast("string").alias("lang"), F.substr(F.col(text), begin, F.lit(stretch)).alias("part"), order.alias("o"))
-    rows = rows.where(F.col("part").rlike(r"\p{L}"))
+    each = max(1, min(per_language, most // languages))
+    few = join_hot(usable.select("lang", "body", "o"), counts, ["lang"]).where(hash_share(F.col("o"), each, F.col("total")))
+    begin = F.pmod("o", F.greatest(F.char_length("body") - stretch + 1, F.lit(1))).cast("int") + 1
+    rows = few.select("lang", F.substr(F.col("body"), begin, F.lit(stretch)).alias("part"), "o").where(F.col("part").rlike(r"\p{L}"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "part")))
-    return [(r["lang"], r["part"]) for r in ranked.where(F.col("n") <= per_language).select("lang", "part").collect()]
+    return [(r["lang"], r["part"]) for r in ranked.where(F.col("n") <= each).select("lang", "part").collect()]
 
 
 def predict(docs: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
