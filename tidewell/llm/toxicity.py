@@ -8,10 +8,11 @@ both weights.  It is trained by full-batch Adam on the logistic loss.
 
 Training uses at most `TOXIC_ROWS` toxic and `OTHER_ROWS` other labelled documents, those with the least
 hash of the id; both bounds are parameters.  Of a document labelled more than once, one toxic label
-makes it toxic.
+makes it toxic; of several rows under one id, the text of the least hash is learned.  Buckets are counted in the
+executors: what reaches the driver are at most `MOST_FEATURES` features and, for each sampled document, which of these it has.
 
-Edge cases: null and empty texts get the score of a document without features; rows with a null id or
-label aren't learned from; without labels of both kinds every score is the share of toxic labels (0 without
+Edge cases: null and empty texts get the score of a document without features; rows with a null id, text or
+label aren't learned from; very long texts are read whole; without labels of both kinds every score is the share of toxic labels (0 without
 labels); repeated rows each get their score; an empty table gives an empty result; result columns replace
 columns of the same name.
 """
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, hash_share, id_crc, map_text, span_hashes, table, word_spans
+from .common import ALNUM, checkpoint, hash_share, id_crc, map_text, span_hashes, table, word_spans
 
 BITS, STEM, FACTORS = 20, 6, 6
 TOXIC_ROWS, OTHER_ROWS, MOST_FEATURES = 3000, 7000, 4096
@@ -66,25 +67,21 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(owner[has], features[has], len(texts)), -30, 30)))
 
 
-def select_features(owner: np.ndarray, bucket: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Feature number of each bucket (or -1), by the chi-square statistic of having it and being toxic."""
-    rows, positive = len(toxic), int(toxic.sum())
-    size = 1 << BITS
-    having = np.bincount(bucket, minlength=size).astype(float)
-    both = np.bincount(bucket, toxic[owner].astype(float), minlength=size)
+def select_features(sample: DataFrame) -> list[int]:
+    """The buckets that tell toxic documents best, by the chi-square statistic of having one and being toxic."""
+    rows, positive = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not rows or not 0 < positive < rows:
+        return []
+    having, both = F.col("having"), F.col("both")
+    counts = sample.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("having"), F.sum("y").alias("both"))
     expected = having * positive / rows
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (both - expected) ** 2 * rows / (having * (1 - having / rows) * positive * (1 - positive / rows))
-    chi = np.where((having >= SUPPORT) & (having < rows), chi, 0)
-    best = np.argsort(-chi, kind="stable")[:MOST_FEATURES]
-    best = best[chi[best] >= CHI_SQUARE]
-    feature = np.full(size, -1, dtype=np.int32)
-    feature[best] = np.arange(len(best))
-    return feature
-
-
-def train(samples: list[tuple[int, list[int]]], seed: int = 11) -> Machine:
-    """A machine from (label, buckets) of documents."""
+    chi = F.pow(both - expected, 2) * rows / (having * (1 - having / rows) * positive * (1 - positive / rows))
+    told = counts.where((having >= SUPPORT) & (having < rows)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
+    return [r["bucket"] for r in told.orderBy(F.desc("chi"), "bucket").limit(MOST_FEATURES).collect()]
+
+
+def train(samples: list[tuple[int, list[int]]], buckets: list[int], seed: int = 11) -> Machine:
+    """A machine from (label, buckets) of documents, of which only the given buckets count."""
     labels = np.array([y for y, _ in samples], dtype=float)
     if len(labels) == 0 or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
@@ -92,7 +89,8 @@ def train(samples: list[tuple[int, list[int]]], seed: int = 11) -> Machine:
         return Machine(np.full(1 << BITS, -1, np.int32), float(odds), np.zeros(1), np.zeros((1, FACTORS)))
     owner = np.repeat(np.arange(len(samples)), [len(b) for _, b in samples])
     bucket = np.concatenate([np.asarray(b, dtype=np.int64) for _, b in samples])
-    feature = select_features(owner, bucket, labels)
+    feature = np.full(1 << BITS, -1, dtype=np.int32)
+    feature[np.asarray(buckets, dtype=np.int64)] = np.arange(len(buckets))
     features = feature[bucket]
     owner, features = owner[features >= 0], features[features >= 0]
     count = max(1, int(feature.max()) + 1)
@@ -116,19 +114,20 @@ def train(samples: list[tuple[int, list[int]]], seed: int = 11) -> Machine:
     return Machine(feature, float(parameters[0][0]), parameters[1], parameters[2])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> list[tuple[int, list[int]]]:
-    """(label, buckets) of at most toxic_rows and other_rows documents; their ids are few enough to broadcast."""
+def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> DataFrame:
+    """(id, y, buckets) of at most toxic_rows and other_rows documents, written; their ids are few enough to broadcast."""
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (id_crc(key) % 3 != 1))
-    known = usable.groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
-    hashed = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
-    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).where("_y IN (0, 1)").collect()}
+    known = usable.groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("y IN (0, 1)").collect()}
 
     def least(y: int, rows: int) -> DataFrame:
-        few = known.where((F.col("_y") == y) & hash_share(hashed, rows, F.lit(max(1, counts.get(y, 0)))))
-        return few.orderBy(hashed, "_id").limit(rows)
+        few = known.where((F.col("y") == y) & hash_share(hashed, rows, F.lit(max(1, counts.get(y, 0)))))
+        return few.orderBy(hashed, "id").limit(rows)
 
-    chosen = least(1, toxic_rows).unionByName(least(0, other_rows))
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    chosen = checkpoint(least(1, toxic_rows).unionByName(least(0, other_rows)))
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    single = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def make():
         def fn(texts: list) -> list:
@@ -137,10 +136,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
         return fn
 
-    rows = map_text(texts, "_text", "buckets array<int>", make, keep=["_id", "_y"]).toArrow()
-    ids, y, buckets = (rows.column(c).to_pylist() if c != "buckets" else [b.values.to_numpy() for b in rows.column(c)] for c in ("_id", "_y", "buckets"))
-    by_id = sorted(range(len(ids)), key=lambda i: (ids[i], len(buckets[i])))
-    return [(y[i], buckets[i]) for i in by_id]
+    return checkpoint(map_text(single, "text", "buckets array<int>", make, keep=["id", "y"]))
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Machine:
+    """A machine of the labelled documents that aren't held out."""
+    sample = training_sample(docs, labels, key, text, label, toxic_rows, other_rows)
+    buckets = select_features(sample)
+    wanted = F.array(*map(F.lit, buckets)) if buckets else F.array().cast("array<int>")
+    rows = sample.select("id", "y", F.array_intersect("buckets", wanted).alias("buckets")).toArrow()
+    ids, y = rows.column("id").to_pylist(), rows.column("y").to_pylist()
+    has = [b.values.to_numpy() for b in rows.column("buckets")]
+    return train([(y[i], has[i]) for i in sorted(range(len(ids)), key=lambda i: ids[i])], buckets)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,5 +166,5 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str]
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    machine = train(training_sample(docs, labels, "doc_id", "text", "toxic"))
+    machine = learn(docs, labels)
     return score(docs, machine, keep=["doc_id"]).select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
