@@ -103,6 +103,86 @@ def test_quotes(spark):
     assert quote_links.link_quotes(rows.limit(0)).count() == 0
 
 
+def quoting_talks(seed, conversations):
+    """Conversations whose replies quote earlier messages whole, in part, and with their own quotes."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for c in range(conversations):
+        said: list[str] = []
+        for turn in range(int(random.integers(1, 9))):
+            own = [f"{random.choice(['We', 'They', 'You'])} {random.choice(['see', 'hear', 'move'])} thing {random.integers(12)}{random.choice(['.', '!', ''])}" for _ in range(random.integers(1, 5))]
+            lines = []
+            if said and random.random() < 0.8:
+                quoted = said[random.integers(len(said))].split("\n")
+                first = int(random.integers(len(quoted)))
+                part = quoted if random.random() < 0.5 else quoted[first : first + int(random.integers(1, 4))]
+                lines = ([] if random.random() < 0.7 else ["Someone wrote:"]) + [f"> {x}" for x in part]
+            body = [*lines, *own] if random.random() < 0.8 else [*own[:1], *lines, *own[1:]]
+            said.append("\n".join(body))
+            rows.append((c, turn, said[-1]))
+    return rows
+
+
+def plain_links(rows):
+    """Parent, root and depth of each message by comparing texts, message by message."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        talk = {t: quote_links.passages(x) for k, t, x in rows if k == c}
+        own = {}
+        for t, found in talk.items():
+            runs = [p for level, p in found if level == 0]
+            body = "\n".join(runs).strip()
+            known = {quote_links.normal(p) for p in [body, *runs, *quote_links.paragraphs(body)]}
+            for kind in quote_links.units(body):
+                known |= {" ".join(kind[i:j]) for i in range(len(kind)) for j in range(i + 1, len(kind) + 1)}
+            own[t] = known - {""}
+        parent = {}
+        for t, found in talk.items():
+            linked = set()
+            for level, p in found:
+                if level:
+                    near = [(len(piece), max(u for u in talk if u < t and piece in own[u])) for piece in quote_links.pieces_of(p) if any(u < t and piece in own[u] for u in talk)]
+                    if near:
+                        linked.add((level, -max(near)[1], quote_links.normal(p)))
+            if linked:
+                parent[t] = (-min(linked)[1], len({(level, q) for level, _, q in linked}))
+        for t in talk:
+            top, depth = t, 0
+            while top in parent:
+                top, depth = parent[top][0], depth + 1
+            out[c, t] = (parent[t][0] if t in parent else None, top, depth, parent[t][1] if t in parent else 0)
+    return out
+
+
+@pytest.mark.parametrize("span", [4096, 2])
+def test_quotes_by_brute_force(spark, monkeypatch, span):
+    monkeypatch.setattr(quote_links, "SPAN", span)
+    rows = quoting_talks(5, 250)
+    found = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string"))
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["root_turn"], r["depth"], r["n_linked"]) for r in found.collect()}
+    wanted = plain_links(rows)
+    assert {k for k in wanted if got[k] != wanted[k]} == set() and len(got) == len(wanted)
+    assert sum(x[0] is not None for x in wanted.values()) > 300 and max(x[2] for x in wanted.values()) > 3
+
+
+def test_reply_order(spark, tmp_path):
+    rows = quoting_talks(6, 40)
+    linked = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string"))
+    quote_links.write_conversations(linked, str(tmp_path / "talks"))
+    at = {}
+    for i, r in enumerate(spark.read.parquet(str(tmp_path / "talks")).orderBy("conv_id", "reply_order").collect()):
+        assert ">" not in r["body"]
+        at[r["conv_id"], r["turn"]] = i
+        assert r["parent_turn"] is None or at[r["conv_id"], r["parent_turn"]] < i
+
+
+def test_quotes_clashing_names(spark):
+    talk = [(1, 0, "One line here.\nAnother", 5), (1, 1, "> One line here.\nYes.", 6), (1, 2, "x" * 200_000, 7)]
+    rows = spark.createDataFrame(talk, "c bigint, t bigint, h string, depth int").withColumn("q", F.lit(1)).withColumn("sizes", F.lit(2))
+    got = {r["t"]: r for r in quote_links.link_quotes(rows, "c", "t", "h").collect()}
+    assert (got[1]["parent_turn"], got[1]["depth"], got[1]["q"], got[1]["sizes"], got[2]["root_turn"]) == (0, 1, 1, 2, 2)
+
+
 PLAN = "The bus leaves at eight.\nBring a lamp\nand two ropes.\nFood is there.\nCall me if late."
 PARTS = "First part here.\n\nSecond part, longer.\n\nThird one."
 
@@ -209,6 +289,39 @@ def test_decontamination(spark, block_windows):
         assert (r["n_words"], r["n_hit"], r["items_sha256"], r["contaminated"]) == (n, h, digest, h > 0 and 20 * h >= n)
 
 
+def test_decontamination_of_many_blocks(spark):
+    """Long items lie in several blocks; the result is that of one."""
+    random = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(random.choice(words, size))) for i, size in enumerate([5000, 13, 12, 1, 40, 400, 400])]
+    rows = []
+    for d in range(60):
+        own = list(random.choice(words, random.integers(0, 80)))
+        if d % 3:
+            copied, size = items[d % 7][1].split(" "), int(random.integers(1, 60))
+            start = int(random.integers(len(copied)))
+            own[len(own) // 2 : len(own) // 2] = copied[start : start + size]
+        rows.append((d, " ".join(own)))
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    results = [sorted(map(tuple, decontaminate.mark_contamination(docs, bench, block_windows=n).collect())) for n in (decontaminate.BLOCK_WINDOWS, 1500)]
+    assert results[0] == results[1]
+    for r in decontaminate.mark_contamination(docs, bench).collect():
+        n, h, digest = plain_contamination(r["text"], items)
+        assert (r["n_words"], r["n_hit"], r["items_sha256"], r["contaminated"]) == (n, h, digest, h > 0 and 20 * h >= n)
+
+
+def test_index_memory_is_bounded_by_windows():
+    """An index of a full block takes under 100 bytes a window, sent or held."""
+    import pickle
+
+    random = np.random.default_rng(2)
+    items = [(i, random.integers(0, 2**63, 500).astype(np.uint64), 0, 487) for i in range(100)]
+    index = decontaminate.Index(items)
+    windows = 100 * 488
+    index.order(np.zeros(len(index.tokens), dtype=np.int64))
+    assert len(index.hashes) == windows and len(pickle.dumps(index)) < 100 * windows
+
+
 def test_decontamination_edges(odd, empty, benchmark):
     assert decontaminate.mark_contamination(odd, benchmark).count() == len(ODD)
     assert decontaminate.mark_contamination(empty, benchmark).count() == 0
@@ -226,6 +339,39 @@ def test_language_id_held_out(spark, docs):
     assert found.where("score < 0 OR score > 1").count() == 0
 
 
+def test_language_id_by_direct_forward_pass(spark):
+    """Scores against loops over windows, filters and positions."""
+    network = language_id.train([("en", "the and of with this"), ("fr", "le la les des une"), ("de", "der die das und ein")] * 5, steps=30)
+    texts = ["das ist ein Haus", "x" * 300 + " une maison", "é", "the " * 100]
+
+    def probabilities(window):
+        hidden = []
+        for kernel in network.kernels:
+            for f in range(kernel.shape[2]):
+                hidden.append(max(sum(kernel[i][window[p + i]][f] for i in range(len(kernel))) for p in range(len(window) - len(kernel) + 1)))
+        hidden = np.maximum(np.array(hidden) + network.bias, 0)
+        logits = [sum(h * w for h, w in zip(hidden, network.dense[:, k], strict=True)) + network.offset[k] for k in range(len(network.languages))]
+        return np.exp(logits) / np.exp(logits).sum()
+
+    found = language_id.predict(spark.createDataFrame([(t,) for t in texts], "text string"), network).collect()
+    for r in found:
+        raw, total = r["text"].encode(), np.zeros(3)
+        for i in range(0, len(raw), language_id.WINDOW):
+            part = raw[i : i + language_id.WINDOW]
+            total += len(part) * np.log(probabilities(part.ljust(language_id.WINDOW, b"\0")))
+        p = np.exp(total / len(raw))
+        p /= p.sum()
+        assert r["lang_pred"] == network.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
+
+
+def test_language_id_learns_every_language(spark):
+    """Many languages share the rows; none is left out."""
+    docs = spark.range(900).select("id", F.concat(F.lit("words in "), F.col("id") % 300).alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    sample = language_id.training_sample(docs, "id", "text", "lang", most=300)
+    held_out = {r["lang"] for r in docs.where(language_id.id_crc("id") % 4 != 2).select("lang").distinct().collect()}
+    assert {lang for lang, _ in sample} == held_out and len(sample) == len(held_out)
+
+
 def test_language_id_edges(odd, empty):
     network = language_id.train([("en", "the and of"), ("fr", "le la les")] * 5, steps=20)
     got = language_id.predict(odd, network).collect()
@@ -443,7 +589,7 @@ def test_secret_edges(odd, empty):
 
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
-    machine = toxicity.train(toxicity.training_sample(docs, labels, "doc_id", "text", "toxic"))
+    machine = toxicity.learn(docs, labels)
     held = toxicity.score(docs, machine, keep=["doc_id"]).join(labels, "doc_id").where(toxicity.id_crc("doc_id") % 3 == 1)
     toxic, clean = held.where("toxic = 1"), held.where("toxic = 0")
     assert toxic.where("predicted = 1").count() / toxic.count() > 0.85
@@ -455,7 +601,7 @@ def test_pairs_count():
     samples = []
     for i in range(400):
         samples.append((i % 4 == 3, np.array([x for x in (7 if i % 4 in (1, 3) else None, 9 if i % 4 in (2, 3) else None, 100 + i % 5) if x is not None])))
-    machine = toxicity.train([(int(y), b) for y, b in samples])
+    machine = toxicity.train([(int(y), b) for y, b in samples], [7, 9, *range(100, 105)])
     owner, features = [np.array(x) for x in ([0, 1, 2, 2], [machine.feature[7], machine.feature[9], machine.feature[7], machine.feature[9]])]
     margins = machine.margins(owner, features, 3)
     assert margins[0] < 0 and margins[1] < 0 and margins[2] > 0
@@ -463,11 +609,35 @@ def test_pairs_count():
 
 def test_toxicity_edges(odd, empty, spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (6, None), (1, 0)], "doc_id bigint, toxic int")
-    machine = toxicity.train(toxicity.training_sample(odd, labels, "doc_id", "text", "toxic"))
+    machine = toxicity.learn(odd, labels)
     assert toxicity.score(odd, machine).where("score >= 0 AND score <= 1").count() == len(ODD)
     assert toxicity.score(empty, machine).count() == 0
-    nothing = toxicity.train(toxicity.training_sample(odd, labels.limit(0), "doc_id", "text", "toxic"))
+    nothing = toxicity.learn(odd, labels.limit(0))
     assert toxicity.score(odd, nothing).where("predicted = 1").count() == 0
+    # Result columns replace columns of the same name; others stay.
+    scored = toxicity.score(odd.withColumn("score", F.lit("x")).withColumn("bucket", F.lit("y")), machine)
+    assert scored.columns.count("score") == 1 and scored.where("bucket = 'y'").count() == len(ODD)
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    """Thousands of rows under one id are one sample."""
+    docs = spark.range(2000).select(F.lit(3).cast("bigint").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(3, 1)], "doc_id bigint, toxic int")
+    assert toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 10, 10).count() <= 1
+
+
+def test_margins_by_pairs():
+    """The machine's margins against a plain sum over all pairs."""
+    random = np.random.default_rng(3)
+    machine = toxicity.Machine(np.arange(1 << toxicity.BITS, dtype=np.int32) % 50, 0.3, random.normal(size=50), random.normal(size=(50, 4)))
+    texts = ["one two three four", "", "a b a b", "six words that say very little"]
+    owner, bucket = toxicity.terms(texts)
+    got = machine.margins(owner, machine.feature[bucket], len(texts))
+    for i in range(len(texts)):
+        f = machine.feature[bucket[owner == i]]
+        plain = 0.3 + sum(machine.linear[a] for a in f) + sum(machine.factors[a] @ machine.factors[b] for k, a in enumerate(f) for b in f[:k])
+        assert abs(plain - got[i]) < 1e-9
+    assert np.allclose(machine.scores(texts), 1 / (1 + np.exp(-got)))
 
 
 def test_line_dedup(spark, odd, empty):
@@ -479,6 +649,39 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.remove_boilerplate(docs, min_sites=4).where("doc_id = 98").first()["text"] == ""
     assert line_dedup.remove_boilerplate(odd).count() == len(ODD)
     assert line_dedup.remove_boilerplate(empty).count() == 0
+    clashing = docs.withColumnsRenamed({"doc_id": "a"}).withColumns({"b": F.lit(1), "key": F.lit(2), "line": F.lit(3), "n_lines": F.lit("x")})
+    assert line_dedup.remove_boilerplate(clashing, min_sites=5).where("b = 1 AND key = 2 AND line = 3 AND n_lines >= 0").count() == len(rows)
+
+
+def test_line_dedup_by_joins(spark, odd, monkeypatch):
+    """More lines than are sent are removed by joins, also where one line and one text have most rows."""
+    words = [f"line {i} of several" for i in range(40)]
+    rows = [(i, "\n".join([words[i % 40], "everywhere", words[i * 7 % 40], f"own {i}"]), "hot" if i % 3 == 0 else f"s{i % 9}") for i in range(300)]
+    rows += [(1000 + i, "everywhere\ncopied", f"s{i % 4}") for i in range(200)] + [(2000, None, "hot"), (2001, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").unionByName(odd.select("doc_id", "text", "source"))
+    sites = {}
+    for r in docs.collect():
+        for line in (r["text"] or "").split("\n"):
+            if r["source"] is not None and line.strip(" \t\r"):
+                sites.setdefault(line.strip(" \t\r"), set()).add(r["source"])
+    common = {line for line, where in sites.items() if len(where) >= 5}
+    assert "everywhere" in common and "copied" not in common
+    wanted = sorted(((r["doc_id"], None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if x.strip(" \t\r") not in common)) for r in docs.collect()), key=str)
+    sent = line_dedup.remove_boilerplate(docs)
+    assert sorted(((r["doc_id"], r["text"]) for r in sent.collect()), key=str) == wanted
+    monkeypatch.setattr(line_dedup, "SENT_LINES", 0)
+    monkeypatch.setattr("tidewell.llm.common.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("tidewell.llm.common.HOT_ROWS", 50)
+    by_joins = line_dedup.remove_boilerplate(docs)
+    assert sorted(((r["doc_id"], r["text"]) for r in by_joins.collect()), key=str) == wanted
+    assert sorted(map(tuple, by_joins.select("n_lines", "n_removed").collect())) == sorted(map(tuple, sent.select("n_lines", "n_removed").collect()))
+
+
+def test_line_dedup_hashes_are_sparks(spark):
+    for line in ("", "a", "ä 😀 words of all lengths " * 9, "12345678", "x" * 37):
+        a, b = spark.range(1).select(line_dedup._line_key(F.lit(line)).alias("k")).select("k.a", "k.b").first()
+        mine = [line_dedup.xxhash.xxh64_intdigest(line.encode(), s) for s in (line_dedup._SEED, line_dedup._SEED_B)]
+        assert [m - (1 << 64) if m >> 63 else m for m in mine] == [a, b]
 
 
 def test_sketches_merge(spark):

@@ -1,10 +1,11 @@
 """Each stage of the pipeline against a plain computation on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_llm_operators import near_copies, plain_components, plain_contamination, texts
-from tidewell.llm import ngram_join
+from tidewell.llm import line_dedup, ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def test_stages(spark):
     for r in known.collect():
         for line in r["text"].split("\n"):
             lines.setdefault(line.strip(" \t\r"), set()).add(r["source"])
-    wanted = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if not (key := x.strip(" \t\r")) or len(lines[key]) < 10) for r in known.collect()}
+    wanted = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if not (key := x.strip(" \t\r")) or len(lines[key]) < line_dedup.MIN_SITES) for r in known.collect()}
     assert cleaned.columns == columns and texts(cleaned) == wanted
     assert all(r["n_chars"] == len(r["text"]) for r in cleaned.collect())
 
@@ -42,7 +43,38 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """The stages in a row give what they give one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    whole = corpus_pipeline.run(spark, SF)
+    names = ["doc_id", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, whole.select(names).collect())) == sorted(map(tuple, docs.select(names).collect())) and whole.count() > 0
+
+
+EXTRA = {"score": 777.0, "lang_pred": "mine", "n_lines": 778, "n_removed": 1, "n_words": 2, "n_hit": 3, "n_items": 4, "items_sha256": "s", "contaminated": True, "c": 5, "root": 6, "_th": 7, "least": 8, "_kept": 9, "__ta": 10}
+
+
+def test_stages_keep_other_columns(spark):
+    """Columns of any name come through all but the last stage, with repeated rows and nulls."""
+    rows = [(1, "A text of some words that stays as it is.", "en", "s1", 41), (1, "A text of some words that stays as it is.", "en", "s1", 41), (2, None, None, None, None), (None, "Another text with other words in it.", "en", None, 36), (4, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.select("*", *[F.lit(v).alias(k) for k, v in EXTRA.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [*"doc_id text lang source n_chars".split(), *EXTRA], name
+        for r in docs.collect():
+            assert all(r[k] == v for k, v in EXTRA.items()), name
+    assert sorted((r["doc_id"] or 0 for r in docs.collect())) == [0, 1]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 2
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
 def test_language_id_without_labels(spark):
