@@ -7,10 +7,14 @@ near_duplicates    keeps the document of the least id of each group linked by th
                    a shingle and a Jaccard similarity of 0.8 (op6 has four words and 0.85)
 decontaminate      drops documents of which a twentieth or more is benchmark text
 pack               cuts the rest into power-of-two sequences of token ids
+
+Other columns of documents, whatever their names, come through all stages but the last; documents may lack n_chars.  Null
+texts and texts without letters go in the first stage; repeated rows go in the third; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,26 +26,39 @@ from tidewell.llm.common import checkpoint, table
 STAGE_NGRAM, STAGE_PERCENT = 5, 80
 
 
+#: Columns that the stages use.
+USED = ("doc_id", "text", "lang", "source")
+
+
+def beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage's rows with all columns of docs as they came, whatever their names: it sees those it uses, and the
+    others as one."""
+    others = [c for c in docs.columns if c not in USED]
+    apart = docs.select(*[c for c in docs.columns if c in USED], F.struct(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("int").alias("__none")).alias("others"))
+    return stage(apart).select(*[F.col(c) if c in USED else F.col("others").getField(c).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = language_id.learn(docs)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs, network)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    return beside(docs, lambda rows: language_id.predict(rows, network).where(F.col("lang_pred") != language_id.UNKNOWN))
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.remove_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    cleaned = beside(docs, line_dedup.remove_boilerplate)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs, percent=STAGE_PERCENT, ngram=STAGE_NGRAM).select(docs.columns)
+    return beside(docs, lambda rows: ngram_join.one_of_each(rows, percent=STAGE_PERCENT, ngram=STAGE_NGRAM))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(~F.col("contaminated")).select(docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return beside(docs, lambda rows: decontaminate.mark_contamination(rows, benchmark).where(~F.col("contaminated")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
