@@ -89,18 +89,18 @@ def _(t: Tables):
 
 @query("txt_tokens", f"SELECT doc_id, len(w)::BIGINT AS tokens, len(list_distinct(w))::BIGINT AS terms FROM (SELECT doc_id, {text_sql.tokens('text')} AS w FROM documents)")
 def _(t: Tables):
-    words = t.documents.select("doc_id", text.standard("text").alias("w"))
+    words = t.texts.select("doc_id", text.standard("text").alias("w"))
     return words.select("doc_id", F.size("w").cast("bigint").alias("tokens"), F.size(F.array_distinct("w")).cast("bigint").alias("terms"))
 
 
 @query("txt_transliterate", f"SELECT doc_id, md5({text_sql.fold('text')}) AS folded FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.md5(text.fold("text").cast("binary")).alias("folded"))
+    return t.texts.select("doc_id", F.md5(text.fold("text").cast("binary")).alias("folded"))
 
 
 @query("txt_freetext", f"SELECT doc_id, len(w)::BIGINT AS tokens, md5(array_to_string(w, ' ')) AS words FROM (SELECT doc_id, {text_sql.free_text('text')} AS w FROM documents)")
 def _(t: Tables):
-    words = t.documents.select("doc_id", text.free_text("text").alias("w"))
+    words = t.texts.select("doc_id", text.free_text("text").alias("w"))
     return words.select("doc_id", F.size("w").cast("bigint").alias("tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
 
@@ -139,7 +139,7 @@ def _(t: Tables):
 
 @query("txt_lowercase", "SELECT doc_id, len(list_filter(string_split(lower(text), ' '), lambda t: t <> ''))::BIGINT AS tokens FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.size(text.lower_case("text")).cast("bigint").alias("tokens"))
+    return t.texts.select("doc_id", F.size(text.lower_case("text")).cast("bigint").alias("tokens"))
 
 
 @query("flt_regex", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(licensed|rights) ')")

@@ -19,7 +19,7 @@ KINDS = {"text": "text", "lang": "verbatim", "source": "verbatim"}
 
 
 def _searcher(t: Tables, operator: str = "and") -> Searcher:
-    return Searcher(t.documents, "doc_id", KINDS, ["text"], operator=operator)
+    return Searcher(t.texts, "doc_id", KINDS, ["text"], operator=operator)
 
 
 def _matching(name: str, text: str, where: str, operator: str = "and", filters: tuple[str, ...] = ()) -> None:
@@ -89,7 +89,7 @@ TERMS = ["with", "thing", "que"]
     SELECT doc, round(sum(sqrt(tf) * pow(1 + ln(n / (df + 1.0)), 2) / sqrt(length)), 6) AS score FROM p JOIN d USING (term) JOIN l USING (doc), n GROUP BY doc""",
 )
 def _(t: Tables):
-    tokens = t.documents.select(F.col("doc_id").alias("doc"), standard("text").alias("w"))
+    tokens = t.texts.select(F.col("doc_id").alias("doc"), standard("text").alias("w"))
     lengths = tokens.select("doc", F.size("w").alias("length")).where("length > 0")
     # Only the terms that are asked for are exploded.
     wanted = tokens.select("doc", F.explode(F.filter("w", lambda w: w.isin(TERMS))).alias("term"))
@@ -114,13 +114,13 @@ def _(t: Tables):
     SELECT doc, round(sum(sqrt(tf) * pow(1 + ln(n / (df + 1)), 2)), 5) AS score FROM p JOIN b USING (term), n WHERE doc <> 12 GROUP BY doc ORDER BY round(sum(sqrt(tf) * pow(1 + ln(n / (df + 1)), 2)), 9) DESC, doc LIMIT 10""",
 )
 def _(t: Tables):
-    found = postings.more_like(postings.postings(t.documents, "doc_id", ["text"]), 12, 10, max_terms=10, min_length=4)
-    return found.select("doc", F.round("score", 5).alias("score"))
+    found = _searcher(t).more_like(12, "text", 10, max_terms=10, min_length=4)
+    return found.select(F.col("doc_id").alias("doc"), F.round("score", 5).alias("score"))
 
 
 @query("tst_extract", f"SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM {POSTINGS_SQL} GROUP BY term HAVING count(*) >= 5")
 def _(t: Tables):
-    return postings.extract(t.documents, ["text"], min_df=5)
+    return postings.extract(t.texts, ["text"], min_df=5)
 
 
 @query(
@@ -134,7 +134,7 @@ def _(t: Tables):
 @query("tst_postings", f"SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM {POSTINGS_SQL} WHERE starts_with(term, 'th') GROUP BY term")
 def _(t: Tables):
     """The same from postings."""
-    posts = postings.postings(t.documents, "doc_id", ["text"])
+    posts = postings.postings(t.texts, "doc_id", ["text"])
     return postings.statistics(posts.where(F.col("term").startswith("th")))
 
 
@@ -148,13 +148,13 @@ def _stats_sql(lang: str) -> str:
     FROM {_stats_sql("en")} a FULL JOIN {_stats_sql("de")} b USING (term) WHERE coalesce(a.df, 0) + coalesce(b.df, 0) >= 3""",
 )
 def _(t: Tables):
-    dumps = {lang: postings.extract(t.documents.where(F.col("lang") == lang), ["text"]) for lang in ("en", "de")}
+    dumps = {lang: postings.extract(t.texts.where(F.col("lang") == lang), ["text"]) for lang in ("en", "de")}
     return postings.merge_statistics(dumps, 3)
 
 
 @query("tst_unique", f"SELECT count(DISTINCT term) AS terms FROM {POSTINGS_SQL}")
 def _(t: Tables):
-    terms = t.documents.select(F.lit("text").alias("field"), F.explode(F.array_distinct(standard("text"))).alias("term"))
+    terms = t.texts.select(F.lit("text").alias("field"), F.explode(F.array_distinct(standard("text"))).alias("term"))
     return postings.unique_terms(terms).agg(F.count(F.lit(1)).alias("terms"))
 
 
@@ -165,7 +165,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     counts = {r["lang"]: r["count"] for r in t.documents.groupBy("lang").count().collect()}
-    targets = {lang: (postings.extract(t.documents.where(F.col("lang") == lang), ["text"]), counts.get(lang, 0)) for lang in ("en", "fr")}
+    targets = {lang: (postings.extract(t.texts.where(F.col("lang") == lang), ["text"]), counts.get(lang, 0)) for lang in ("en", "fr")}
     return postings.term_boosts(targets, "en").select("term", F.round("boost", 6).alias("boost"))
 
 
@@ -177,7 +177,7 @@ def _(t: Tables):
 @query("qry_fallback", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'none' ELSE lang END AS lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
 def _(t: Tables):
     """Empty values and missing ones fall back."""
-    docs = t.documents.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 2, F.col("lang")))
+    docs = t.texts.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 2, F.col("lang")))
     searcher = Searcher(docs, "doc_id", KINDS, ["text"])
     found = searcher.search(Request("*", rows=25, sort="n_chars", reverse=True, fields=["lang"], fallbacks={"lang": "none"}))
     return found.select("doc_id", "lang")

@@ -218,7 +218,7 @@ TEXT_STATS = f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (S
 @query("tst_persist", f"SELECT term, tf, df FROM ({TEXT_STATS}) WHERE term >= 'm' AND term < 'n'")
 def _(t: Tables):
     place = _place(t)
-    postings.write_statistics(postings.extract(t.documents, ["text"]), place)
+    postings.write_statistics(postings.extract(t.texts, ["text"]), place)
     return t.spark.read.parquet(place).where("term >= 'm' AND term < 'n'")
 
 
@@ -285,7 +285,7 @@ def _(t: Tables):
 # Federation.
 def _federation(t: Tables, mode: str = "score") -> Federation:
     def part(where: str) -> Searcher:
-        return Searcher(t.documents.where(where), "doc_id", KINDS, ["text"])
+        return Searcher(t.texts.where(where), "doc_id", KINDS, ["text"])
 
     return Federation({"en": part("lang = 'en'"), "rest": part("lang <> 'en'")}, mode=mode)
 

@@ -93,9 +93,12 @@ def tf_idf(posts: DataFrame, terms: list[str], total: int | None = None, lengths
     return joined.groupBy("doc").agg(F.sum(part).alias("score"))
 
 
-def more_like(posts: DataFrame, doc, limit: int = 10, max_terms: int = 25, min_tf: int = 1, min_df: int = 2, min_length: int = 0, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, score) of the documents most like one: its best terms by tf * idf are looked up; it isn't in the result."""
-    total = posts.select("doc").distinct().count()
+def more_like(posts: DataFrame, doc, limit: int = 10, max_terms: int = 25, min_tf: int = 1, min_df: int = 2, min_length: int = 0, stop_words: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
+    """(doc, score) of the documents most like one: its best terms by tf * idf are looked up; it isn't in the result.
+
+    posts need hold only the document's own terms if the number of documents is given.
+    """
+    total = posts.select("doc").distinct().count() if total is None else total
     own = posts.where((F.col("doc") == F.lit(doc)) & (F.col("tf") >= min_tf) & (F.char_length("term") >= min_length) & ~F.col("term").isin(list(stop_words) or [""]))
     wanted = posts.join(F.broadcast(own.select("term").distinct()), "term", "left_semi")
     dfs = wanted.groupBy("term").agg(F.count_distinct("doc").alias("df")).where(F.col("df") >= min_df)

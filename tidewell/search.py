@@ -14,6 +14,7 @@ from tidewell.plans.ast import Boolean, Clause, Fuzzy, MatchAll, Node, Phrase, T
 from tidewell.plans.compile import Compiler
 from tidewell.plans.parser import parse
 from tidewell.schema import Descriptor, Field
+from tidewell.session import checkpoint
 
 
 @dataclass
@@ -182,8 +183,13 @@ class Searcher:
         return browse.index_lookup(facets.term_counts(terms), term, **options)
 
     def more_like(self, key, name: str, limit: int = 10, **options) -> DataFrame:
-        posts = postings.postings(self.docs, self.key, [name], self._analyzer(name))
-        return postings.more_like(posts, key, limit, **options).withColumnRenamed("doc", self.key)
+        """The documents most like one; of the others, only the terms that it has are gathered."""
+        own = self.docs.where(F.col(self.key) == F.lit(key)).select(F.explode(self.tokens(name)).alias("term")).distinct()
+        terms = [r["term"] for r in own.collect()]  # of one document
+        rows = self.docs.select(F.col(self.key).alias("doc"), self.tokens(name).alias("tokens")).where(F.size("tokens") > 0)
+        found = rows.select("doc", F.filter("tokens", lambda t: t.isin(terms)).alias("tokens"))
+        posts = checkpoint(found.select("doc", F.explode("tokens").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf")))
+        return postings.more_like(posts, key, limit, total=rows.count(), **options).withColumnRenamed("doc", self.key)
 
     def explain(self, query: str | None) -> str:
         from tidewell.plans.ast import show

@@ -42,6 +42,20 @@ def ship(spark: SparkSession) -> None:
     context._tidewell_shipped = True
 
 
+#: File bytes per core up to which a table of few files is dealt to all cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores, dealt to all cores: a row group is one task's, and texts are costly to analyse.
+
+    Larger tables, and those of many files, stay as they are, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.  One of this machine does only for a local master."""
     context = spark.sparkContext
