@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.session import spread
+
 #: Text bytes that one step of a mapped function sees at a time.
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch; a batch of texts is held by the executor and by its worker.
@@ -30,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for operators that read whole texts: a small table of few files is dealt to all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

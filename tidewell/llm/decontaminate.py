@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, checkpoint, join_hot, map_arrow, map_text, ngram_hashes, slices, span_hashes, table, word_hashes
+from .common import ALNUM, checkpoint, documents, join_hot, map_arrow, map_text, ngram_hashes, slices, span_hashes, table, word_hashes
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 200_000
 #: Candidates that are compared at a time.
@@ -252,7 +252,7 @@ def _texts_with_hits(found: DataFrame) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return mark_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
 _TOKENS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

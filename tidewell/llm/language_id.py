@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash_share, id_crc, join_hot, map_text, table
+from .common import checkpoint, documents, hash_share, id_crc, join_hot, map_text
 
 WINDOW, FILTERS, WIDTHS = 128, 8, (2, 3, 4)
 PER_LANGUAGE, STRETCH, STEPS, BATCH = 1200, 420, 500, 192
@@ -191,5 +191,5 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = identify(documents(spark, sf_dir), keep=["doc_id"])
     return found.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")

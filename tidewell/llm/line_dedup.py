@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_hot, map_text, table
+from .common import checkpoint, documents, join_hot, map_text
 
 MIN_SITES = 5
 #: Boilerplate lines that are sent to all tasks (16 bytes each); beyond, a join finds them.
@@ -144,7 +144,7 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     found = remove_boilerplate(docs)
     return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("bigint").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 

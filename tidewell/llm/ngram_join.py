@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, checkpoint, join_hot, map_arrow, map_groups, mix64, ngram_hashes, slices, table, word_hashes
+from .common import BROADCAST_ROWS, SPACED, checkpoint, documents, join_hot, map_arrow, map_groups, mix64, ngram_hashes, slices, word_hashes
 
 NGRAM, PERCENT = 4, 85
 #: Most classes of a chunk and bytes of their sets (about).
@@ -388,7 +388,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import documents, map_arrow, slices
 
 LIMIT, END_ID = 2048, 1
 #: Bits of a sequence number that hold the bucket.
@@ -140,4 +140,4 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), ids=False)
+    return pack(documents(spark, sf_dir), ids=False)

@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op4_decontamination": decontaminate.ORACLE_OP4,
     "op6_ngram_join": ngram_join.ORACLE_OP6,
     "op7_sharding": sharding.ORACLE_OP7,
+    "op8_secret_scans": secrets_scan.ORACLE_OP8,
     "op10_line_dedup": line_dedup.ORACLE_OP10,
 }

@@ -6,7 +6,8 @@ Keyword-led kinds are looked for only at hits of the automaton; hex has no keywo
 more digits are found by one scan.
 
 Edge cases: null and empty texts have no spans; very long texts are scanned whole; offsets are code
-points, end exclusive; repeated rows each get their result; an empty table gives an empty result.
+points, end exclusive; repeated rows each get their result; result columns replace columns of the same name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_text, table
+from .common import documents, map_text
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE_KINDS = KINDS[:3]
@@ -115,4 +116,47 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return scan_secrets(documents(spark, sf_dir), keep=["doc_id"])
+
+
+def _oracle() -> str:
+    def either_case(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    words = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
+    patterns = {
+        "assign": (rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, "length(body) >= 12"),
+        "access": (r"AKIA([A-Z0-9]+)", 1, "length(body) >= 14"),
+        "hex": (r"([0-9a-f]{16,})", 1, "TRUE"),
+        "github": (r"gh[pousr]_([A-Za-z0-9]{36,})", 1, "length(body) = 36"),
+        "npm": (r"npm_([A-Za-z0-9]{36,})", 1, "length(body) = 36"),
+    }
+    # CRC-32 of the first thirty characters, bit by bit, and its six digits.
+    bit = "lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, 31), lambda i: ascii(substr(body, i::INTEGER, 1))::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)::BIGINT[]), {bit})))"
+    digits = f"list_aggregate(list_transform([5, 4, 3, 2, 1, 0], lambda i: substr('{DIGITS62.decode()}', (crc // pow(62, i)::BIGINT % 62 + 1)::INTEGER, 1)), 'string_agg', '')"
+    parts = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{kind}' AS kind, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS found, regexp_extract_all(t, {quoted(p)}, {group}) AS bodies FROM d"
+        for k, (kind, (p, group, _)) in enumerate(patterns.items())
+    )
+    holds = " OR ".join(f"(kind = '{kind}' AND {test})" for kind, (_, _, test) in patterns.items())
+    base = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({parts}),
+e AS (SELECT r, k, kind, unnest(range(1, len(found) + 1)) AS i, gaps, found, bodies FROM m),
+s AS (SELECT r, k, kind, bodies[i] AS body, length(found[i]) AS size,
+      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM e),
+h AS MATERIALIZED (SELECT r, k, kind, body, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span, start FROM s WHERE {holds}),
+c AS (SELECT *, CASE WHEN k > 2 THEN ({crc})::BIGINT END AS crc FROM h),
+o AS (SELECT * FROM c WHERE k <= 2 OR substr(body, 31) = {digits}),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+      coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (WHERE {base}), '') AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM o GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)"""
+
+
+ORACLE_OP8 = _oracle()

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, checkpoint, hash_share, id_crc, map_text, span_hashes, table, word_spans
+from .common import ALNUM, checkpoint, documents, hash_share, id_crc, map_text, span_hashes, table, word_spans
 
 BITS, STEM, FACTORS = 20, 6, 6
 TOXIC_ROWS, OTHER_ROWS, MOST_FEATURES = 3000, 7000, 4096
@@ -165,6 +165,6 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str]
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels")
     machine = learn(docs, labels)
     return score(docs, machine, keep=["doc_id"]).select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
