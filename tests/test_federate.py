@@ -1,6 +1,6 @@
 import pytest
 
-from tidewell.federate import Adjustment, Balanced, CachedSearch, Federation
+from tidewell.federate import Adjustment, Balanced, CachedSearch, Composite, Federation, Guard
 from tidewell.search import Request, Searcher
 
 
@@ -44,3 +44,19 @@ def test_cache_and_balance(both):
     spread.free = [0, 0]
     with pytest.raises(TimeoutError):
         spread.search(request, 0.01)
+
+
+def test_guard_and_composite(both):
+    guard = Guard(lambda r: "rows", 1, 2)
+    assert guard.search(None) == "pong" and guard.search(Request("x")) == "rows" and guard.served == 1
+    with pytest.raises(ValueError):
+        guard.search(Request(ids=["1", "2", "3"]))
+    guard.slots.acquire()
+    with pytest.raises(TimeoutError):
+        guard.search(Request("x"), 0.01)
+    for parallel in (True, False):
+        composite = Composite({name: s.search for name, s in both.sources.items()}, parallel)
+        request = Request("lang:en OR lang:dansk", fields=["lang"])
+        assert {name: len(rows) for name, rows in composite.search(request).items()} == {"a": 2, "b": 2}
+        assert composite.later(request).result().keys() == {"a", "b"}
+        composite.close()

@@ -200,6 +200,30 @@ def test_row_functions(spark):
         filters.plugged(table, ["nowhere"])
 
 
+def test_parts_of_records(spark):
+    table = spark.createDataFrame([("a", "x1", {"k": "v"}, ["p", "q"])], "id string, content string, meta map<string,string>, parent_ids array<string>")
+    assert one_row(table.select(filters.part("meta.k").alias("a"), filters.part("parentid").alias("b"), filters.part("xmlfull", 1).alias("c"))) == ("v", "p,q", "x")
+    shaped = filters.shape(table, [("id", "meta.new", "(.)", "<$1>"), ("meta.k", "content", "v", "$0!")], require="all")
+    assert one_row(shaped.select("content", F.col("meta")["new"], F.col("meta")["k"])) == ("v!", "<a>", "v")
+    with pytest.raises(ValueError):
+        sinks.validated(table)
+
+
+def one_row(df):
+    return tuple(df.collect()[0])
+
+
+def test_spread(spark, tmp_path):
+    from tidewell.session import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    small = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(small).count() == 10
+    spark.range(10).repartition(8).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread(many) is many
+
+
 def test_batches_of_bytes(spark):
     table = spark.createDataFrame([(i, "x" * 10) for i in range(10)], "id bigint, content string")
     got = [r["batch"] for r in filters.batched(table, ["id"], 6, 25).orderBy("id").collect()]

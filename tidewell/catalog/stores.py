@@ -135,6 +135,22 @@ def _(t: Tables):
     return filters.each(t.documents.select("doc_id", "text"), _picky, "doc_id bigint, size bigint", errors="mark").select("doc_id", "error")
 
 
+def _copies(row: dict) -> list[dict]:
+    return [{"doc_id": row["doc_id"], "copy": i} for i in range(row["doc_id"] % 3)]
+
+
+@query("flt_several", "SELECT doc_id, unnest(range(doc_id % 3)) AS copy FROM documents")
+def _(t: Tables):
+    return filters.each(t.documents.select("doc_id"), _copies, "doc_id bigint, copy bigint")
+
+
+@query("shp_add_fields", "SELECT doc_id AS doc, 'lang' AS field, lang AS value FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'number', 'no ' || regexp_extract(source, 'src([0-9]+)', 1) FROM documents WHERE regexp_matches(source, 'src[0-9]+')")
+def _(t: Tables):
+    stored = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("base"), "lang")
+    fields = filters.document_fields(stored, "id", {"lang": 1.0})
+    return filters.add_fields(fields, stored, [("base", "number", r"src(\d+)", "no $1"), ("base", "none", "nowhere", "$0")]).select("doc", "field", "value")
+
+
 @query("flt_plugged", "SELECT doc_id, upper(lang) AS lang FROM documents WHERE n_chars > 500")
 def _(t: Tables):
     name = f"longer_{uuid.uuid4().hex}"
@@ -188,6 +204,11 @@ def _(t: Tables):
     return t.spark.read.schema("id bigint, content string").json(place)
 
 
+@query("snk_validated", f"SELECT count(*) AS records FROM {RECORDS_SQL}")
+def _(t: Tables):
+    return sinks.validated(t.records).agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("snk_xml", "SELECT p_partkey, p_name AS name, p_size AS size FROM part")
 def _(t: Tables):
     xml = t.part.select(sinks.as_xml(F.struct("p_partkey", "p_name", "p_size"), "part").alias("x"))
@@ -322,6 +343,13 @@ def _(t: Tables):
     return federation.merge_proposals([part("p_name"), part("p_type")], 6)
 
 
+@query("dym_query", "SELECT 'widget zzzzzzzz' AS query, 2::BIGINT AS distance WHERE EXISTS (SELECT 1 FROM part WHERE p_name LIKE '% widget')")
+def _(t: Tables):
+    """Each unknown word is replaced by its best proposal; one without any stays."""
+    terms = t.spark.createDataFrame([("widget", 10), ("gadget", 20), ("wedge", 3)], "term string, df bigint")
+    return suggest.proposed_query(terms, "Widgte zzzzzzzz").select("query", F.col("distance").cast("bigint").alias("distance"))
+
+
 ENFORCED = "('0x' || substr(md5(md5('some query') || ':' || id), 1, 8))::BIGINT % 10 + 0.5"
 ENFORCE_SQL = f"""WITH m AS (SELECT id, source, row_number() OVER (ORDER BY score DESC, source, id) - 1 AS p FROM {RANKED_SQL} WHERE rn <= 60),
 w AS (SELECT *, count(*) FILTER (WHERE p < 15) OVER (PARTITION BY source) AS inside, row_number() OVER (PARTITION BY source, p >= 15 ORDER BY p) AS n FROM m)

@@ -6,6 +6,7 @@ import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -130,6 +131,53 @@ class CachedSearch:
         return rows
 
 
+class Guard:
+    """What a search node checks of a request: pings are answered at once, ids are limited, and only so many requests run
+    at a time."""
+
+    def __init__(self, search: Callable[[Request], DataFrame], slots: int = 5, most_ids: int | None = None, clock: Callable[[], float] = time.monotonic):
+        self.inner, self.most_ids, self.clock = search, most_ids, clock
+        self.slots = threading.BoundedSemaphore(slots)
+        self.served, self.seconds = 0, 0.0
+
+    def search(self, request: Request | None, timeout: float | None = None):
+        if request is None:
+            return "pong"
+        if self.most_ids is not None and len(request.ids or []) > self.most_ids:
+            raise ValueError(f"{len(request.ids)} ids; at most {self.most_ids} are allowed")
+        if not self.slots.acquire(timeout=timeout):
+            raise TimeoutError("no free slot")
+        began = self.clock()
+        try:
+            return self.inner(request)
+        finally:
+            self.served, self.seconds = self.served + 1, self.seconds + self.clock() - began
+            self.slots.release()
+
+
+class Composite:
+    """Several searches for one request, one after another or at the same time; the rows of each page by name.
+
+    A request in the background gives a future of the same.
+    """
+
+    def __init__(self, searches: dict[str, Callable[[Request], DataFrame]], parallel: bool = True):
+        self.searches = searches
+        self.pool = ThreadPoolExecutor(max(1, len(searches)) if parallel else 1)
+        self.background = ThreadPoolExecutor(4)
+
+    def search(self, request: Request) -> dict[str, list]:
+        running = {name: self.pool.submit(lambda s=s: s(request).collect()) for name, s in self.searches.items()}
+        return {name: f.result() for name, f in running.items()}
+
+    def later(self, request: Request) -> Future:
+        return self.background.submit(self.search, request)
+
+    def close(self) -> None:
+        self.background.shutdown()
+        self.pool.shutdown()
+
+
 class Balanced:
     """Spreads calls over equal searchers, to the one with the most free slots; waits if there is none."""
 

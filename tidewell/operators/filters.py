@@ -21,8 +21,8 @@ class Fatal(Exception):
     """Raised by a row function to stop the whole run; any other exception concerns its row alone."""
 
 
-def each(df: DataFrame, function: Callable[[dict], dict | None], schema=None, errors: str = "drop", mark: str = "error") -> DataFrame:
-    """Rows through a function of one row as a dict; it gives the new row, or None to drop it.
+def each(df: DataFrame, function: Callable[[dict], dict | list[dict] | None], schema=None, errors: str = "drop", mark: str = "error") -> DataFrame:
+    """Rows through a function of one row as a dict; it gives the new row, several new ones, or None to drop it.
 
     A row at which it raises is dropped, or kept as it came with the message in a column (`mark`); Fatal ends the run.
     """
@@ -44,8 +44,8 @@ def each(df: DataFrame, function: Callable[[dict], dict | None], schema=None, er
                 if keep:
                     yield (*[given.get(n) for n in names], f"{type(problem).__name__}: {problem}")
                 continue
-            if made is not None:
-                yield (*[made.get(n) for n in names], None) if keep else tuple(made.get(n) for n in names)
+            for new in made if isinstance(made, list) else [made] if made is not None else []:
+                yield (*[new.get(n) for n in names], None) if keep else tuple(new.get(n) for n in names)
 
     def batches(parts):
         import pandas as pd
@@ -306,6 +306,16 @@ def document_fields(docs: DataFrame, key: str, fields: dict[str, float], boost:
     return docs.select(F.col(key).alias("doc"), F.explode(F.concat(*lists)).alias("x")).select("doc", "x.*").where(F.col("value") != "")
 
 
+def add_fields(fields: DataFrame, records: DataFrame, rules: list[tuple[str, str, str, str]], key: str = "id", boost: float = 1.0) -> DataFrame:
+    """An index's fields (doc, field, value, boost) with more, made of the records' parts.
+
+    rules: (part, field, pattern, template); a rule adds nothing where its pattern isn't found or the value is blank.
+    """
+    made = F.array(*[F.struct(F.lit(field).alias("field"), F.trim(templated(part(source), pattern, template)).alias("value")) for source, field, pattern, template in rules])
+    new = records.select(F.col(key).alias("doc"), F.explode(made).alias("x")).select("doc", "x.*", F.lit(boost).alias("boost"))
+    return fields.unionByName(new.where(F.col("value") != ""))
+
+
 def capped_elements(xml: Column, tag: str, most: int) -> Column:
     """At most so many elements of a tag (without nested ones of the same name) left in a document."""
     element = rf"(?s)<{tag}(?:\s[^>]*)?(?:/>|>.*?</{tag}>)"

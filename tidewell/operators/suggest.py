@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import keyword
+from tidewell.functions.text import standard as split_words
 
 DEFAULT = 10
 
@@ -76,10 +77,27 @@ def import_text(spark, path: str) -> DataFrame:
 def did_you_mean(terms: DataFrame, word: str, limit: int = 5, most: int = 2) -> DataFrame:
     """(term, distance, df) of known terms near a word, the nearest and then most frequent first."""
     far = F.levenshtein(F.col("term"), F.lit(word), most)
-    near = terms.withColumn("distance", far).where((F.col("distance") >= 0) & (F.col("term") != word))
+    # Terms of other lengths are farther: they aren't measured.
+    alike = F.abs(F.char_length("term") - len(word)) <= most
+    near = terms.where(alike).withColumn("distance", far).where((F.col("distance") >= 0) & (F.col("term") != word))
     return near.select("term", "distance", "df").orderBy("distance", F.desc("df"), "term").limit(limit)
 
 
+def proposed_query(terms: DataFrame, text: str, most: int = 2) -> DataFrame:
+    """(query, distance): a query of known words, each unknown word of text replaced by its best proposal; all in one pass.
+
+    The words of one query are few and are sent to the terms.  A word without a proposal stays.
+    """
+    spark = terms.sparkSession
+    words = spark.range(1).select(F.posexplode(split_words(F.lit(text))).alias("at", "word"))
+    alike = (F.abs(F.char_length("term") - F.char_length("word")) <= most) & (F.levenshtein("term", "word") <= most)
+    near = terms.join(F.broadcast(words), alike).withColumn("distance", F.levenshtein("term", "word"))
+    best = near.groupBy("at").agg(F.min_by(F.struct("term", "distance"), F.struct("distance", -F.col("df"), "term")).alias("best"))
+    chosen = words.join(best, "at", "left").select("at", F.coalesce("best.term", "word").alias("word"), F.coalesce("best.distance", F.lit(0)).alias("distance"))
+    listed = chosen.agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("x"), F.sum("distance").alias("distance"))
+    return listed.select(F.array_join(F.transform("x", lambda w: w["word"]), " ").alias("query"), "distance")
+
+
 def highlight(text: Column, words: list[str], before: str = "<em>", after: str = "</em>") -> Column:
     """Whole words marked, whatever their case."""
     import re

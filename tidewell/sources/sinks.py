@@ -40,6 +40,18 @@ def as_xml(record: Column | str, tag: str = "record") -> Column:
     return F.to_xml(record, {"rowTag": tag})
 
 
+#: What a record table has.
+RECORD_COLUMNS = ("id", "base", "deleted", "indexable", "content")
+
+
+def validated(records: DataFrame, columns: tuple[str, ...] = RECORD_COLUMNS) -> DataFrame:
+    """A storage's records, if it can be read and has the columns of one; an error tells what is missing.  Reads one row."""
+    if missing := [c for c in columns if c not in records.columns]:
+        raise ValueError(f"the storage lacks {missing}")
+    records.limit(1).collect()
+    return records
+
+
 def discard_all(df: DataFrame) -> None:
     """Runs the plan and keeps nothing."""
     df.write.format("noop").mode("overwrite").save()
