@@ -94,15 +94,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def join_hot(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """rows joined with a table of distinct keys, where some keys may have a large share of the rows.
 
     A written table of few rows is broadcast.  Else the rows of keys with over HOT_ROWS rows are dealt to several
-    tasks, each of which gets a copy of the key's row of `small`.
+    tasks, each of which gets a copy of the key's row of `small`.  size: a column of `small` that has the number of
+    rows of its key; it is left out, and rows aren't counted.
     """
+    counts = None
+    if size is not None:
+        counts, small = small.select(*on, F.col(size).alias("_n")), small.drop(size)
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), on, how)
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.where(F.col("_n") > HOT_ROWS)
     hot = checkpoint(counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts)).drop("_parts")

@@ -211,9 +211,10 @@ def overlaps(sets: list[np.ndarray], dense: int = 16, width: int = 2048) -> np.n
     flat = np.zeros(rows * rows, dtype=np.int64)
     for size in range(2, dense):
         columns_ = starts[counts == size]
-        if len(columns_):
-            group = owner[columns_[:, None] + np.arange(size)]
-            a, b = np.triu_indices(size, 1)
+        a, b = np.triu_indices(size, 1)
+        step = (1 << 18) // len(a)
+        for i in range(0, len(columns_), step):
+            group = owner[columns_[i : i + step, None] + np.arange(size)]
             flat += np.bincount((group[:, a] * rows + group[:, b]).ravel(), minlength=rows * rows)
     rare = flat.reshape(rows, rows)
     return total.astype(np.int64) + rare + rare.T
@@ -245,11 +246,11 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
 
 def blocks_of(met: DataFrame) -> DataFrame:
     """(lead, c, n, chunks): each block's classes, and how many chunks it is cut into."""
-    lead = checkpoint(met.groupBy("h").agg(F.max(F.struct("w", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("x.c").alias("lead")))
-    blocks = checkpoint(join_hot(met.select("h", "c", "n"), lead, ["h"]).select("lead", "c", "n").distinct())
+    lead = checkpoint(met.groupBy("h").agg(F.max(F.struct("w", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("x.c").alias("lead"), "k"))
+    blocks = checkpoint(join_hot(met.select("h", "c", "n"), lead, ["h"], size="k").select("lead", "c", "n").distinct())
     many = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES))
-    cut = blocks.groupBy("lead").agg(many.alias("chunks")).where("chunks > 1")
-    return join_hot(blocks, checkpoint(cut), ["lead"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    cut = blocks.groupBy("lead").agg(many.alias("chunks"), F.count(F.lit(1)).alias("k")).where("chunks > 1")
+    return join_hot(blocks, checkpoint(cut), ["lead"], "left", size="k").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
 
 
 def chunk_rows(blocks: DataFrame) -> DataFrame:
@@ -359,8 +360,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """key, n_shingles, component_id (the least key of the component) and class_id of each row."""
     rooted = checkpoint(rooted_members(docs, key, text, percent, ngram))
     # A row alone in its component is its least.
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    joined = join_hot(rooted, checkpoint(least), ["root"], "left")
+    least = rooted.where("n > 0").groupBy("root").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    joined = join_hot(rooted, checkpoint(least), ["root"], "left", size="k")
     return joined.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.coalesce("least", "_key")).alias("component_id"), F.col("c").alias("class_id"))
 
 
@@ -374,9 +375,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     rows = checkpoint(rows)
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_th")).alias("first"), F.sum("times").alias("k"))
     # A component of a single row has nothing to remove.
-    first = checkpoint(least.where("k > 1").select("root", F.col("first._k").alias("_k1"), F.col("first._th").alias("_h1")))
+    first = checkpoint(least.where("k > 1").select("root", F.col("first._k").alias("_k1"), F.col("first._th").alias("_h1"), "k"))
     stays = F.col("_k").eqNullSafe(F.col("_k1")) & (F.col("_th") == F.col("_h1"))
-    told = checkpoint(join_hot(rows, first, ["root"]).withColumn("_stays", stays).where(~F.col("_stays") | (F.col("times") > 1)).select(F.col("_k").alias("__key"), F.col("_th").alias("__told"), F.col("_stays").alias("__stays")))
+    told = checkpoint(join_hot(rows, first, ["root"], size="k").withColumn("_stays", stays).where(~F.col("_stays") | (F.col("times") > 1)).select(F.col("_k").alias("__key"), F.col("_th").alias("__told"), F.col("_stays").alias("__stays")))
     if told.count() <= BROADCAST_ROWS:
         told = F.broadcast(told)
     names = [f"`{c}`" for c in docs.columns]
