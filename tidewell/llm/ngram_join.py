@@ -172,7 +172,8 @@ def candidates(source: DataFrame, classes: DataFrame, percent: int, ngram: int)
     # The columns that no other class has come first in order of rarity.
     meet = F.slice("x", F.lit(1), F.size("x") - F.col("need") + 1)
     typical = F.aggregate("x", F.lit(0.0), lambda total, e: total + F.log(e["df"].cast("double"))) / F.col("p")
-    return able.select("c", "n", typical.alias("w"), F.explode(meet["h"]).alias("h"))
+    # In a step of its own, before the columns are exploded: else it is computed for each of them.
+    return able.select("c", "n", typical.alias("w"), meet["h"].alias("meet")).select("c", "n", "w", F.explode("meet").alias("h"))
 
 
 def class_sets(source: DataFrame, members: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
