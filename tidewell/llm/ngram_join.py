@@ -44,12 +44,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, checkpoint, documents, join_hot, map_arrow, map_groups, mix64, ngram_hashes, slices, word_hashes
+from .common import BROADCAST_ROWS, SPACED, checkpoint, documents, join_hot, map_arrow, map_groups, mix64, ngram_hashes, shuffle_partitions, slices, word_hashes
 
 NGRAM, PERCENT = 4, 85
 #: Most classes of a chunk and bytes of their sets (about).
 CHUNK, CHUNK_BYTES = 700, 4 << 20
-#: Bytes that a group given to a worker has (about).
+#: Most bytes that a group given to a worker has (about).
 GROUP_BYTES = 8 << 20
 
 
@@ -118,15 +118,15 @@ def _shared(n: Column, percent: int) -> Column:
     return F.least(n - _missing(n, percent), F.floor(18 * n / 100).cast("int") + 4)
 
 
-def groups_for(size: int | None) -> int:
-    """How many groups of about GROUP_BYTES make up so many bytes."""
-    return max(1, math.ceil((size or 0) / GROUP_BYTES))
+def groups_for(spark: SparkSession, size: int | None) -> int:
+    """How many groups of at most about GROUP_BYTES make up so many bytes; one a shuffle partition at least."""
+    return max(shuffle_partitions(spark), math.ceil((size or 0) / GROUP_BYTES))
 
 
 def shared_columns(source: DataFrame, classes: DataFrame, percent: int, ngram: int) -> DataFrame:
     """(c, h, df) for the columns h of class c that other classes have too; df: how many classes do."""
     # A column takes 16 bytes; classes that lie in several slices are sent by each, so some more than this.
-    count = groups_for(classes.agg(F.sum(F.col("p") * F.lit(16) * F.least("rows", F.lit(64)))).first()[0])
+    count = groups_for(source.sparkSession, classes.agg(F.sum(F.col("p") * F.lit(16) * F.least("rows", F.lit(64)))).first()[0])
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +293,7 @@ def stray_rows(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 def linked_classes(rows: DataFrame, sets: DataFrame, percent: int, across: bool = False) -> DataFrame:
     """Edges (a, b) that span all links within the chunks, or between the two sides of each."""
-    count = groups_for(rows.agg(F.sum(F.col("n") * 8)).first()[0])
+    count = groups_for(rows.sparkSession, rows.agg(F.sum(F.col("n") * 8)).first()[0])
     work = rows.join(sets, "c").withColumn("task", F.pmod(F.xxhash64("lead", "chunk"), F.lit(count)))
 
     def multiply(table_: pa.Table) -> pa.Table:
