@@ -170,7 +170,8 @@ def candidates(source: DataFrame, classes: DataFrame, percent: int, ngram: int)
     gathered = shared_columns(source, classes, percent, ngram).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     able = gathered.join(bound, "c").where(F.size("x") >= F.col("need"))
     # The columns that no other class has come first in order of rarity.
-    meet = F.slice("x", F.lit(1), F.size("x") - F.col("need") + 1)
+    # No length is negative: that rows explode is checked before the filter above.
+    meet = F.slice("x", F.lit(1), F.greatest(F.size("x") - F.col("need") + 1, F.lit(0)))
     typical = F.aggregate("x", F.lit(0.0), lambda total, e: total + F.log(e["df"].cast("double"))) / F.col("p")
     # In a step of its own, before the columns are exploded: else it is computed for each of them.
     return able.select("c", "n", typical.alias("w"), meet["h"].alias("meet")).select("c", "n", "w", F.explode("meet").alias("h"))
