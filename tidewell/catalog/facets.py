@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import browse, facets
 
+from . import text_sql
 from .common import Tables, query
 
 WORDS_SQL = "(SELECT p_partkey AS doc, unnest(string_split(lower(p_name), ' ')) AS term FROM part)"
@@ -64,11 +65,11 @@ def _(t: Tables):
     return facets.totals(facets.term_counts(_words(t)), 5)
 
 
-@query("fct_after_query", "SELECT source AS term, count(*) AS count, (row_number() OVER (ORDER BY count(*) DESC, source))::INTEGER AS rank FROM documents WHERE lang = 'en' AND regexp_matches(lower(text), '(^|[^a-z])the([^a-z]|$)') GROUP BY 1 ORDER BY count DESC, term LIMIT 15")
+@query("fct_after_query", "SELECT source AS term, count(*) AS count, (row_number() OVER (ORDER BY count(*) DESC, source))::INTEGER AS rank FROM documents WHERE lang = 'en' AND list_contains(" + text_sql.tokens("text") + ", 'the') GROUP BY 1 ORDER BY count DESC, term LIMIT 15")
 def _(t: Tables):
     from tidewell.search import Searcher
 
-    searcher = Searcher(t.documents, "doc_id", {"text": "text", "lang": "verbatim", "source": "verbatim"}, defaults=["text"])
+    searcher = Searcher(t.texts, "doc_id", {"text": "text", "lang": "verbatim", "source": "verbatim"}, defaults=["text"])
     hits = searcher.matches("text:the AND lang:en")
     return facets.top_by_count(facets.term_counts(facets.after_query(facets.doc_terms(t.documents, "doc_id", ["source"]), hits, "doc_id")), 15)
 
