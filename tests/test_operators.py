@@ -290,4 +290,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).where("base = 'a'").count() == 1
     sinks.clear_then_write(table.where("id = '2'").withColumn("id", F.lit("3")), table, "b", str(tmp_path / "u"))
     assert rows(spark.read.parquet(str(tmp_path / "u")).where("deleted"), "id") == [("2",)]
-    assert files.generated_pages(spark, 3).count() == 3
+    pages = files.generated_pages(spark, 3, lines=4, words=5)
+    again = files.generated_pages(spark, 3, lines=4, words=5)
+    assert rows(pages.select("id", F.to_json("page").alias("p")), "id", "p") == rows(again.select("id", F.to_json("page").alias("p")), "id", "p")
+    page = pages.where("id = 1").first()["page"]
+    assert (page["width"], page["height"], len(page["blocks"][0]["lines"]), len(page["blocks"][0]["lines"][0]["strings"])) == (500, 120, 4, 5)
+    assert all(s["content"].startswith("w") and s["vpos"] == 30 * y for y, line in enumerate(page["blocks"][0]["lines"]) for s in line["strings"])

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewell import session
-from tidewell.federate import Federation
+from tidewell.federate import Federation, RemoteSource
 from tidewell.functions import scalar
 from tidewell.index import IndexSearcher, write_index
 from tidewell.operators import browse, facets, federation, filters, postings, records, suggest
@@ -330,6 +330,34 @@ def _(t: Tables):
     return _federation(t).search(Request("*", rows=10, group="lang")).select("lang", "num_found")
 
 
+@query("fed_remote", "SELECT doc_id AS id, 'near' AS source FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 'far' FROM documents WHERE lang = 'en' AND doc_id < 50")
+def _(t: Tables):
+    """A source that answers over a function stands beside a local one."""
+    far = [{"doc_id": r["doc_id"], "lang": "en", "score": 1.0} for r in t.documents.where("lang = 'en' AND doc_id < 50").select("doc_id").collect()]
+    remote = RemoteSource(t.spark, "doc_id", "doc_id bigint, lang string", lambda request: far[: request.start + request.rows])
+    near = Searcher(t.texts.where("lang = 'de'"), "doc_id", KINDS, ["text"])
+    return Federation({"near": near, "far": remote}).search(Request("*", rows=100_000, fields=["lang"])).select("id", "source")
+
+
+@query("snk_remote", "SELECT count(*) AS sent FROM part")
+def _(t: Tables):
+    """Each batch goes to a file of its own in the shared folder, as to another system."""
+    place = _place(t)
+    t.spark.range(1).write.parquet(f"{place}/made")  # makes the folder
+
+    def send(rows: list[dict]) -> None:
+        import json
+        import os
+
+        folder = place.removeprefix("file:")
+        with open(os.path.join(folder, f"{rows[0]['p_partkey']}.json"), "w") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+
+    told = sinks.send_documents(t.part.select("p_partkey", "p_name"), send, 64).agg(F.sum("sent").alias("told")).first()["told"]
+    arrived = t.spark.read.schema("p_partkey bigint, p_name string").json(f"{place}/*.json")
+    return arrived.where(F.lit(told) > 0).agg(F.count(F.lit(1)).alias("sent"))
+
+
 def _near(column: str) -> str:
     return f"SELECT term, 1.0 / (1 + levenshtein(term, 'widgte')) AS score FROM (SELECT DISTINCT unnest({text_sql.tokens(column)}) AS term FROM part) WHERE levenshtein(term, 'widgte') <= 3"
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import ANALYZERS
@@ -105,6 +105,25 @@ class Federation:
         return {facet: facets.answer(facets.summed(counts), asked[facet]) for facet, counts in parts.items()}
 
 
+class RemoteSource:
+    """A source that is asked over a network: fetch takes a request and gives a page's rows as dicts, with the key and a score.
+
+    It stands in a Federation beside local searchers.  The rows of a page are as many as the request asks for.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, schema: str, fetch: Callable[[Request], list[dict]], fetch_facets: Callable[[Request], dict[str, list[tuple[str, int]]]] | None = None):
+        self.spark, self.key, self.schema, self.fetch, self.fetch_facets = spark, key, schema, fetch, fetch_facets
+
+    def search(self, request: Request) -> DataFrame:
+        rows = self.spark.createDataFrame([], f"{self.schema}, score double")
+        names = rows.columns
+        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.fetch(request)], rows.schema)
+
+    def facet(self, request: Request, whole: bool = False) -> dict[str, DataFrame]:
+        found = self.fetch_facets(request) if self.fetch_facets else {}
+        return {name: self.spark.createDataFrame(counts, "term string, count bigint") for name, counts in found.items()}
+
+
 class CachedSearch:
     """Remembers rows of recent requests: at most `entries` of them, for `seconds` each."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +73,22 @@ def write_index(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("field", "term").sortWithinPartitions("term", "doc").write.mode("overwrite").partitionBy("field").parquet(path)
 
 
+def send_documents(rows: DataFrame, send: Callable[[list[dict]], None], batch: int = 1000) -> DataFrame:
+    """(part, sent): rows sent to a remote index by the executors, in batches through a function.
+
+    A part whose sending fails is sent again from its beginning, so the remote side must take a document twice.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for i, part in enumerate(parts):
+            listed = part.to_dict("records")
+            for at in range(0, len(listed), batch):
+                send(listed[at : at + batch])
+            yield pd.DataFrame({"part": [i], "sent": [len(listed)]})
+
+    return rows.mapInPandas(run, "part bigint, sent bigint")
+
+
 def delete_from_index(postings: DataFrame, deleted: DataFrame) -> DataFrame:
     return postings.join(deleted.select("doc").distinct(), "doc", "left_anti")
 
