@@ -453,6 +453,16 @@ def test_near_copies_of_one_text_make_linear_rows(spark, monkeypatch):
     assert first <= 2 * 400 and not any(n for across, n in made if across)
 
 
+def test_ngram_join_hot_columns(spark, monkeypatch):
+    """Columns that most classes share are led as others are."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
+    monkeypatch.setattr("tidewell.llm.common.HOT_ROWS", 3)
+    monkeypatch.setattr("tidewell.llm.common.BROADCAST_ROWS", 0)
+    rows = near_copies(9)
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == plain_components(rows)
+
+
 def test_ngram_join_clashing_names(spark):
     rows = [(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "g h i j", 5, 6)]
     for names in (["c", "text", "n", "root"], ["_key", "h", "th", "_th"], ["least", "lead", "band", "k"]):

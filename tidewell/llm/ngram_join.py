@@ -41,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, checkpoint, documents, join_hot, map_arrow, map_groups, mix64, ngram_hashes, shuffle_partitions, slices, word_hashes
+from .common import BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, SPACED, checkpoint, documents, join_hot, map_arrow, map_groups, mix64, ngram_hashes, shuffle_partitions, slices, word_hashes
 
 NGRAM, PERCENT = 4, 85
 #: Most classes of a chunk and bytes of their sets (about).
@@ -190,7 +190,7 @@ def class_sets(source: DataFrame, members: DataFrame, wanted: DataFrame, ngram:
                 sets = shingle_sets(part.column(0).to_pylist(), ngram)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
 
-    return checkpoint(map_arrow(chosen, run, "c bigint, s binary").dropDuplicates(["c"]))
+    return map_arrow(chosen, run, "c bigint, s binary").dropDuplicates(["c"])
 
 
 def overlaps(sets: list[np.ndarray], dense: int = 16, width: int = 2048) -> np.ndarray:
@@ -247,9 +247,18 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
 
 
 def blocks_of(met: DataFrame) -> DataFrame:
-    """(lead, c, n, chunks): each block's classes, and how many chunks it is cut into."""
-    lead = checkpoint(met.groupBy("h").agg(F.max(F.struct("w", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("x.c").alias("lead"), "k"))
-    blocks = checkpoint(join_hot(met.select("h", "c", "n"), lead, ["h"], size="k").select("lead", "c", "n").distinct())
+    """(lead, c, n, chunks): each block's classes, and how many chunks it is cut into.
+
+    Classes are dealt by column once, and a window of at most HOT_ROWS rows finds each column's leader; the few hot
+    columns' leaders are aggregated and broadcast, and their classes stay where they are.
+    """
+    best, column = F.max(F.struct("w", "c")), Window.partitionBy("h")
+    counts = met.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_ROWS)
+    hot = F.broadcast(checkpoint(counts.orderBy(F.desc("k"), "h").limit(HOT_KEYS).select("h")))
+    few, many = met.join(hot, "h", "left_anti"), met.join(hot, "h", "left_semi")
+    led = few.withColumns({"x": best.over(column), "k": F.count(F.lit(1)).over(column)}).where("k > 1").select(F.col("x.c").alias("lead"), "c", "n")
+    hot_led = many.join(F.broadcast(many.groupBy("h").agg(best.alias("x"))), "h").select(F.col("x.c").alias("lead"), "c", "n")
+    blocks = checkpoint(led.unionByName(hot_led).distinct())
     many = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES))
     cut = blocks.groupBy("lead").agg(many.alias("chunks"), F.count(F.lit(1)).alias("k")).where("chunks > 1")
     return join_hot(blocks, checkpoint(cut), ["lead"], "left", size="k").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -338,7 +347,8 @@ def class_components(source: DataFrame, members: DataFrame, percent: int = PERCE
     classes = members.where("n > 0").groupBy("c", "n").agg(F.count(F.lit(1)).alias("rows"))
     classes = classes.withColumn("p", F.least(n, _missing(n, percent) + _shared(n, percent)))
     blocks = blocks_of(checkpoint(candidates(source, classes, percent, ngram)))
-    sets = class_sets(source, members, blocks.select("c").distinct(), ngram)
+    # The sets aren't written: they are dealt by class, as the join with the rows needs them.
+    sets = class_sets(source, members, checkpoint(blocks.select("c").distinct()), ngram)
     edges = checkpoint(linked_classes(chunk_rows(blocks), sets, percent))
     labels = components(edges)
     large = blocks.where("chunks > 1")
@@ -347,6 +357,7 @@ def class_components(source: DataFrame, members: DataFrame, percent: int = PERCE
     rows = checkpoint(stray_rows(large, labels, percent))
     if rows.isEmpty():
         return labels
+    sets = class_sets(source, members, checkpoint(rows.select("c").distinct()), ngram)
     return components(edges.union(checkpoint(linked_classes(rows, sets, percent, across=True)).where("a <> b")))
 
 
