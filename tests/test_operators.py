@@ -1,5 +1,6 @@
 import gzip
 import io
+import time
 import zipfile
 
 import pytest
@@ -135,6 +136,15 @@ def test_suggestions(spark):
     assert rows(store.suggest("f"), "query", "hits", "count") == [("foo baz", 4, 9)]
 
 
+def test_replacing_is_linear(spark):
+    """Many places in one text, each looked up once."""
+    places = 30_000
+    given = spark.createDataFrame([("th7thing" * (places // 2),), ("",), (None,)], "text string").select(filters.replaced(F.col("text"), [("[0-9]+", "#")], {"th": "ð", "thing": "res"}))
+    began = time.monotonic()
+    assert [r[0] for r in given.collect()] == ["ð#res" * (places // 2), "", None]
+    assert time.monotonic() - began < 60
+
+
 def test_requirements():
     assert layout.parse_requirement("3@100") == (3, False, 100) and layout.parse_requirement("50%@20") == (50, True, 20)
     with pytest.raises(ValueError):

@@ -273,9 +273,10 @@ def replaced(text: Column, patterns: list[tuple[str, str]] = (), strings: dict[s
         return text
     either = "|".join(re.escape(old) for old in sorted(strings, key=len, reverse=True))
     table = F.create_map(*[F.lit(x) for pair in strings.items() for x in pair])
-    found = F.transform(F.regexp_extract_all(text, F.lit(either), F.lit(0)), lambda old: table[old])
+    found = F.regexp_extract_all(text, F.lit(either), F.lit(0))
     between = F.split(text, either, -1)
-    return F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.try_element_at(found, i + 1), F.lit("")))), "")
+    # Zipped: what a lambda names besides its arguments is computed again for each piece.
+    return F.array_join(F.zip_with(between, found, lambda piece, old: F.concat(piece, F.coalesce(table[old], F.lit("")))), "")
 
 
 def sanitised(text: Column, replacement: str = "?") -> Column:
