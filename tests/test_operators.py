@@ -3,6 +3,7 @@ import io
 import time
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,29 @@ def test_archives(spark, tmp_path):
     assert len(broken) == 1 and broken[0]["name"].endswith("bad.zip") and broken[0]["content"] is None
 
 
+def test_archives_come_in_frames(monkeypatch):
+    """Few frames for many small files, and none of much more than the bound of bytes; no row is lost at their ends."""
+
+    class Given:
+        def __init__(self, *batches):
+            self.batches = [pd.DataFrame(rows, columns=["path", "content"]) for rows in batches]
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return list(run(iter(self.batches)))
+
+    small = [(f"{i}.txt", b"%d" % i) for i in range(4500)]
+    frames = files.read_archives(Given(small[:3000], [], small[3000:]))
+    assert [len(f) for f in frames] == [2000, 2000, 500]
+    assert [(p, c) for f in frames for p, c in zip(f["origin"], f["content"], strict=True)] == small
+    monkeypatch.setattr(files, "FRAME_BYTES", 10)
+    large = files.read_archives(Given([("a", b"x" * 6), ("b", b"x" * 30), ("c.gz", b"no"), ("d", b"x")]))
+    assert [list(f["name"]) for f in large] == [["a", "b"], ["c.gz", "d"]] and large[1]["error"].notna().tolist() == [True, False]
+    assert files.read_archives(Given([])) == []
+
+
 def test_listings(spark):
     listing = spark.createDataFrame([("a\r\nb\n\n c ",)], "content string")
     assert files.pulled(listing) == ["a", "b", "c"]

@@ -69,7 +69,7 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     "SELECT 'f' || p_partkey || '.zip' AS origin, 'f' || p_partkey || '.zip!/in.zip!/deep/name.txt' AS name, p_name AS text, FALSE AS broken FROM part UNION ALL SELECT 'f' || p_partkey || '.zip', 'f' || p_partkey || '.zip!/broken.gz', NULL, TRUE FROM part",
 )
 def _(t: Tables):
-    packed = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")).mapInPandas(_zipped, "path string, content binary")
+    packed = session.spread(t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))).mapInPandas(_zipped, "path string, content binary")
     found = files.read_archives(packed, "*.txt")
     return found.select("origin", "name", F.decode("content", "UTF-8").alias("text"), F.col("error").isNotNull().alias("broken"))
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ENTRY = "origin string, name string, content binary, error string"
 # How archives begin.
 ZIP_START, GZIP_START = b"PK\x03\x04", b"\x1f\x8b"
+#: Unpacked files are handed on in frames of at most so many rows, and of so many bytes besides the last file's.
+FRAME_ROWS, FRAME_BYTES = 2000, 16 << 20
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", newest_last: bool = True) -> DataFrame:
@@ -62,12 +64,23 @@ def read_archives(files: DataFrame, pattern: str = "*") -> DataFrame:
     """(origin, name, content, error) of all plain files in files and archives whose inner names match, and of all
     archives that can't be read."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["origin", "name", "content", "error"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 for name, data, error in unpacked(path, bytes(content)):
                     if error or fnmatch.fnmatch(name.rpartition("/")[2], pattern):
-                        yield pd.DataFrame([(path, name, data, error)], columns=["origin", "name", "content", "error"])
+                        rows.append((path, name, data, error))
+                        held += len(data or b"")
+                        # A frame of its own for each row would cost far more than to unpack it.
+                        if len(rows) >= FRAME_ROWS or held >= FRAME_BYTES:
+                            yield frame(rows)
+                            rows, held = [], 0
+        if rows:
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, ENTRY)
 
