@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.catalog.registry import QUERIES
 from tidewell.functions import scalar
 from tidewell.index import IndexSearcher, write_index
 from tidewell.operators import browse, facets, federation, filters, graph, layout, records, suggest
@@ -87,6 +88,22 @@ def test_hierarchy_totals_are_own_plus_valid_children(spark):
     assert sorted(r["path"] for r in strict.collect()) == ["a", "a/b", "a/c"]
 
 
+def test_hierarchy_of_all_tags(spark):
+    """A parent of more children than the default limit keeps them all where all are asked for, as the URL paths' query does."""
+    many = facets.MAX_TAGS + 3
+    paths = spark.range(many).select(F.col("id").alias("doc"), F.concat(F.lit("a/"), "id").alias("path"))
+    got = facets.hierarchical(paths, facets.Hierarchy(default=facets.Level(max_tags=-1)))
+    assert rows(got.groupBy("level").agg(F.count("*").alias("n"), F.max("rank").alias("last")), "level", "n", "last") == [(1, 1, 1), (2, many, many)]
+    assert facets.hierarchical(paths).count() == 1 + facets.MAX_TAGS
+
+
+def test_url_paths_of_a_large_host(spark, tmp_path):
+    many = facets.MAX_TAGS + 3
+    spark.range(many).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.example/"), "id", F.lit("?q")).alias("url")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["fct_url_paths"](spark, str(tmp_path))
+    assert rows(got.groupBy("level").agg(F.sum("total").alias("n"), F.count("*").alias("tags")), "level", "n", "tags") == [(1, many, 1), (2, many, many)]
+
+
 def test_facet_merge_is_associative(spark):
     def part(*pairs):
         return spark.createDataFrame(list(pairs), "term string, count bigint")

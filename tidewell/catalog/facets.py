@@ -137,7 +137,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     path = F.regexp_extract("url", r"^\w+://([^?#]*)", 1)
-    return facets.hierarchical(t.pages.select(F.col("page_id").alias("doc"), path.alias("path"))).select(F.col("level").cast("bigint").alias("level"), "path", "total")
+    every = facets.Hierarchy(default=facets.Level(max_tags=-1))
+    return facets.hierarchical(t.pages.select(F.col("page_id").alias("doc"), path.alias("path")), every).select(F.col("level").cast("bigint").alias("level"), "path", "total")
 
 
 @query("fct_merge", "SELECT p_type AS term, count(*) AS count, 1 AS reliability FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")

@@ -144,7 +144,7 @@ def merge_ranges(parts: list[DataFrame]) -> DataFrame:
 
 @dataclass
 class Level:
-    """Limits of one level of a hierarchy."""
+    """Limits of one level of a hierarchy; max_tags are those of a parent (-1: all)."""
 
     max_tags: int = MAX_TAGS
     min_count: int = 0
@@ -197,7 +197,9 @@ def hierarchical(paths: DataFrame, request: Hierarchy = Hierarchy()) -> DataFram
     for depth in range(1, deepest + 1):
         limits = request.level(depth)
         order = [F.desc("total"), F.col("path")] if limits.order == "count" else [F.col("path")]
-        level = levels[depth].withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*order))).where(F.col("rank") <= limits.max_tags)
+        level = levels[depth].withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*order)))
+        if limits.max_tags >= 0:
+            level = level.where(F.col("rank") <= limits.max_tags)
         if ranked:
             level = level.join(ranked[-1].select(F.col("path").alias("_kept")), F.col("parent") == F.col("_kept"), "left_semi")
         ranked.append(level)
