@@ -1,5 +1,6 @@
 import pytest
 
+from tidewell.catalog.registry import QUERIES
 from tidewell.federate import Adjustment, Balanced, CachedSearch, Composite, Federation, Guard
 from tidewell.search import Request, Searcher
 
@@ -20,6 +21,25 @@ def test_adjusted_search(both):
         both.search(Request("x"), ["nowhere"])
 
 
+def test_search_of_all_rows(both, spark):
+    """No number of rows stands for all of them; none is the rest from a start on."""
+    every = Request("text:red", fields=["lang"], rows=None)
+    merged = both.search(every)
+    assert [(r["position"], r["id"]) for r in merged.orderBy("position").collect()] == [(0, 3), (1, 1), (2, 2)]
+    assert [r["id"] for r in both.search(Request("text:red", fields=["lang"], start=1, rows=None)).orderBy("position").collect()] == [1, 2]
+    assert sorted(r["position"] for r in both.search(every, enforce={"a": 1}).collect()) == [0, 1, 2]
+    groups = both.search(Request("*", group="lang", rows=None))
+    assert sorted((r["lang"], r["num_found"], r["id"]) for r in groups.collect()) == [("dansk", 2, 3), ("en", 2, 1)]
+    assert [r["id"] for r in both.sources["a"].search(Request("red", rows=None)).collect()] == [1, 2]
+    plan = merged.select("id", "source")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Limit" not in plan
+
+
+def test_federated_query_has_no_limit(spark):
+    plan = QUERIES["fed_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Window" not in plan
+
+
 def test_merged_facets(both):
     counts = both.facet(Request("text:red", facets="lang"))["lang"]
     assert sorted((r["term"], r["count"]) for r in counts.collect()) == [("da", 1), ("en", 2)]

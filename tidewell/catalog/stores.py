@@ -322,7 +322,7 @@ def _(t: Tables):
     f"SELECT doc_id AS id, source FROM (SELECT doc_id, 'en' AS source, score FROM {_word_scores(chr(108) + 'ang = ' + chr(39) + 'en' + chr(39), 'with')} UNION ALL SELECT doc_id, 'rest', score FROM {_word_scores('lang <> ' + chr(39) + 'en' + chr(39), 'with')})",
 )
 def _(t: Tables):
-    return _federation(t).search(Request("with", rows=100_000, fields=["lang"])).select("id", "source")
+    return _federation(t).search(Request("with", rows=None, fields=["lang"])).select("id", "source")
 
 
 @query("fed_groups", "SELECT lang, count(*) AS num_found FROM documents GROUP BY 1")

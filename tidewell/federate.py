@@ -55,7 +55,7 @@ class Federation:
         self.mode, self.order = mode, order or list(sources)
 
     def search(self, request: Request, wanted: list[str] | None = None, enforce: dict[str, int] | None = None) -> DataFrame:
-        """One page of merged rows.  Each source gives its rows from 0 to the page's end.
+        """One page of merged rows.  Each source gives its rows from 0 to the page's end; rows None: all of them.
 
         A grouped request's groups are merged whatever the mode: counts summed, documents ranked anew.
         """
@@ -65,13 +65,17 @@ class Federation:
         found = {}
         for name, searcher in chosen.items():
             adjusted = self.adjustments.get(name, Adjustment())
-            own = adjusted.request(replace(request, start=0, rows=request.start + request.rows))
-            rows = searcher.search(own).withColumnRenamed(searcher.key, "id")
+            own = adjusted.request(replace(request, start=0, rows=None if request.rows is None else request.start + request.rows))
+            # All rows are put in order once, after they are merged.
+            rows = searcher.search(own, ordered=False) if request.rows is None and isinstance(searcher, Searcher) else searcher.search(own)
+            rows = rows.withColumnRenamed(searcher.key, "id")
             found[name] = adjusted.scores(rows, request.query)
         gathered = federation.gather(found, request.start, request.rows)
         merged = federation.merge(gathered, self.mode, self.order, 0 if enforce else request.start, None if enforce else request.rows)
         if enforce:
-            merged = federation.enforce(merged, enforce, request.query or "").where((F.col("position") >= request.start) & (F.col("position") < request.start + request.rows))
+            merged = federation.enforce(merged, enforce, request.query or "").where(F.col("position") >= request.start)
+            if request.rows is not None:
+                merged = merged.where(F.col("position") < request.start + request.rows)
         return merged
 
     def _grouped(self, request: Request, wanted: list[str] | None) -> DataFrame:
@@ -108,7 +112,7 @@ class Federation:
 class RemoteSource:
     """A source that is asked over a network: fetch takes a request and gives a page's rows as dicts, with the key and a score.
 
-    It stands in a Federation beside local searchers.  The rows of a page are as many as the request asks for.
+    It stands in a Federation beside local searchers.  The rows of a page are as many as the request asks for (None: all).
     """
 
     def __init__(self, spark: SparkSession, key: str, schema: str, fetch: Callable[[Request], list[dict]], fetch_facets: Callable[[Request], dict[str, list[tuple[str, int]]]] | None = None):

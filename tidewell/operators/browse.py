@@ -38,8 +38,10 @@ def merge_lookups(parts: list[DataFrame], term: str, delta: int = DELTA, length:
     return index_lookup(summed, term, delta, length, case_sensitive=case_sensitive)
 
 
-def page(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFrame:
-    return rows.orderBy(*order).offset(start).limit(size)
+def page(rows: DataFrame, order: list[Column], start: int, size: int | None) -> DataFrame:
+    """size None: all rows from the start on."""
+    rest = rows.orderBy(*order).offset(start) if start else rows.orderBy(*order)
+    return rest if size is None else rest.limit(size)
 
 
 def pages(rows: DataFrame, order: list[Column], start: int, size: int, most: int) -> list[DataFrame]:
@@ -62,17 +64,18 @@ def score_window(rows: DataFrame, lower: float, upper: float, size: int, score:
     return rows.where((F.col(score) >= lower) & (F.col(score) < upper)).orderBy(F.desc(score), key).limit(size)
 
 
-def group_results(hits: DataFrame, group: str, group_limit: int = 1, rows: int = 10, score: str = "score", key: str = "doc_id") -> DataFrame:
+def group_results(hits: DataFrame, group: str, group_limit: int = 1, rows: int | None = 10, score: str = "score", key: str = "doc_id") -> DataFrame:
     """(group, num_found, group_rank, rank, key, score): the best groups with the best documents of each.
 
     Groups are ordered by their best document.  Counts and best scores are aggregated before anything is
-    ranked; then only the chosen groups' documents are.
+    ranked; then only the chosen groups' documents are.  rows None: all groups.
     """
     # The best is the least by the negated score, so that keys of any type order upwards.
     worth = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
     best = hits.groupBy(group).agg(F.count(F.lit(1)).alias("num_found"), F.min(F.struct(worth.alias("s"), F.col(key).alias("k"))).alias("_best"))
-    chosen = best.orderBy("_best", group).limit(rows).withColumn("group_rank", F.row_number().over(Window.orderBy("_best", group)))
-    ranked = hits.join(F.broadcast(chosen.drop("_best")), group).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)))
+    chosen = best if rows is None else best.orderBy("_best", group).limit(rows)
+    chosen = chosen.withColumn("group_rank", F.row_number().over(Window.orderBy("_best", group))).drop("_best")
+    ranked = hits.join(chosen if rows is None else F.broadcast(chosen), group).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)))
     return ranked.where(F.col("rank") <= group_limit).select(group, "num_found", "group_rank", "rank", key, score)
 
 
@@ -86,7 +89,7 @@ def best_of_each(hits: DataFrame, group: str, limit: int = 1, score: str = "scor
     return ranked.where(F.col("_rank") <= limit).select(group, key, score)
 
 
-def merge_groups(parts: list[DataFrame], group: str, group_limit: int = 1, rows: int = 10, score: str = "score", key: str = "doc_id") -> DataFrame:
+def merge_groups(parts: list[DataFrame], group: str, group_limit: int = 1, rows: int | None = 10, score: str = "score", key: str = "doc_id") -> DataFrame:
     """Grouped results of several sources: counts of the same group summed, documents ranked anew."""
     whole = reduce(DataFrame.unionByName, [p.select(group, "num_found", key, score).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
     found = whole.select(group, "_part", "num_found").distinct().groupBy(group).agg(F.sum("num_found").alias("num_found"))

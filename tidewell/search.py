@@ -19,12 +19,12 @@ from tidewell.session import checkpoint
 
 @dataclass
 class Request:
-    """What a client asks for.  Defaults: all documents, the first 20 rows by score."""
+    """What a client asks for.  Defaults: all documents, the first 20 rows by score; rows None: all of them."""
 
     query: str | None = None
     filters: list[str] = field(default_factory=list)
     start: int = 0
-    rows: int = 20
+    rows: int | None = 20
     sort: str | None = None
     reverse: bool = False
     fields: list[str] | None = None
@@ -147,10 +147,11 @@ class Searcher:
         asked = self.docs.sparkSession.createDataFrame([(str(i),) for i in dict.fromkeys(ids)], "_id string").select(F.col("_id").try_cast(kind).alias(self.key))
         return (self.docs if rows is None else rows).join(F.broadcast(asked), self.key, "left_semi")
 
-    def search(self, request: Request) -> DataFrame:
+    def search(self, request: Request, ordered: bool = True) -> DataFrame:
         """One page of rows: the wanted fields (with fallbacks for empty ones), the score and the key.
 
-        A request with ids asks for these documents (that pass the filters); each scores 1.
+        A request with ids asks for these documents (that pass the filters); each scores 1.  If all rows are asked
+        for, the order may be left out.
         """
         query = request.query
         if request.sanitize and query:
@@ -162,7 +163,8 @@ class Searcher:
         if request.group:
             return browse.group_results(hits, request.group, request.group_limit, request.rows, key=self.key)
         order = [F.desc("score"), F.asc(self.key)] if request.sort in (None, "score") else browse.sort_order(request.sort, request.reverse, key=self.key)
-        chosen = browse.page(hits, order, request.start, request.rows)
+        whole = request.rows is None and not request.start
+        chosen = hits if whole and not ordered else browse.page(hits, order, request.start, request.rows)
         wanted = [c for c in (request.fields or self.docs.columns) if c not in (self.key, "score")]
         shown = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(request.fallbacks[c])).alias(c) if c in request.fallbacks else F.col(c) for c in wanted]
         return chosen.select(self.key, *shown, "score")
